@@ -1,0 +1,6 @@
+"""The engine's own queries and their oracles."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
