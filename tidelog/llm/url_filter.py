@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from tidelog.llm.common import ascii_lower, table
 
 #: The vocabulary (a parameter): strict terms reject alone, soft ones only together.
-STRICT = ("porn", "porno", "xxx", "sexcam", "escort", "hentai", "nudes", "warez", "malware", "phishing")
-SOFT = ("adult", "bet", "bonus", "casino", "dating", "free", "hot", "loan", "lottery", "pills", "poker", "sexy", "slots", "torrent", "viagra", "win")
+STRICT = ("adult", "porn", "porno", "xxx", "sexcam", "escort", "hentai", "nudes", "warez", "malware", "phishing")
+SOFT = ("ads", "bet", "bets", "bonus", "casino", "cheap", "dating", "farm", "free", "hot", "loan", "lottery", "pills", "poker", "sexy", "slots", "spam", "torrent", "track", "viagra", "win")
 MIN_SOFT = 2
 #: The rules of the query's contract.
 RULES = (
