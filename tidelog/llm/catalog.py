@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidelog.llm import decontamination, packing, pii, token_counts, url_filter
+from tidelog.llm import decontamination, packing, pii, token_counts, url_filter, winnowing
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_decontamination": decontamination.op3_decontamination,
+    "op4_winnowing": winnowing.op4_winnowing,
     "op6_token_counts": token_counts.op6_token_counts,
     "op8_pii": pii.op8_pii,
     "op10_packing": packing.op10_packing,
