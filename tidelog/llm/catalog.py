@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidelog.llm import decontamination, packing, pii, token_counts, url_filter, winnowing
+from tidelog.llm import decontamination, jaccard_join, packing, pii, token_counts, url_filter, winnowing
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_winnowing": winnowing.op4_winnowing,
     "op6_token_counts": token_counts.op6_token_counts,
     "op8_pii": pii.op8_pii,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_packing": packing.op10_packing,
 }
 ORACLES = {
