@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidelog.llm import decontamination, jaccard_join, packing, pii, token_counts, url_filter, winnowing
+from tidelog.llm import decontamination, jaccard_join, packing, pii, quality, token_counts, url_filter, winnowing
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_winnowing": winnowing.op4_winnowing,

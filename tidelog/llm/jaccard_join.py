@@ -258,8 +258,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """df with one row of each component: the one with the least id (of equal rows, any one).  All columns stay; rows with a null
-    id, which no component can be named by, stay too."""
+    """df with one row of each component: the one with the least id.  All columns stay.  Repeated rows under that id, and rows
+    with a null id, which no component can be named by, stay too."""
     found = jaccard_components(df, id_col, text_col, k, num, den)
     rest = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     return df.join(rest, id_col, "left_anti")
