@@ -80,8 +80,8 @@ def varint_decode(code: Column) -> Column:
     """The number of a base-128 code that fills the whole binary; null if it ends early (underflow), is longer than ten bytes or
     exceeds 64 bits (overflow)."""
     bits = byte_array(code)
-    last = F.element_at(bits, -1)
     size = F.size(bits)
+    last = F.get(bits, size - 1)
     step = lambda acc, b: F.struct((acc["at"] + 7).alias("at"), acc["n"].bitwiseOR(F.call_function("shiftleft", b.bitwiseAND(F.lit(0x7F).cast("long")), acc["at"])).alias("n"))
     number = F.aggregate(bits, F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("n")), step)["n"]
     inner = F.forall(F.slice(bits, F.lit(1), F.greatest(F.lit(0), size - 1)), lambda b: b >= 128)

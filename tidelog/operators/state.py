@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from tidelog.model import DELETE, PUT
 
-NEWEST = (F.desc, ("seq", "ord"))
-
 
 def newest_first():
     return Window.partitionBy("key").orderBy(F.desc("seq"), F.desc("ord"))
@@ -48,13 +46,17 @@ def multi_get(probes: DataFrame, versions: DataFrame, ts: Column | int | None =
 def scan(versions: DataFrame, start=None, end=None, ts: Column | int | None = None, ordered: bool = True) -> DataFrame:
     """The live rows of the half-open range [start, end) in key order; null or empty bounds are open."""
     rows = visible(versions, ts)
-    if start not in (None, "", b""):
+    if bounded(start):
         rows = rows.filter(F.col("key") >= start)
-    if end not in (None, "", b""):
+    if bounded(end):
         rows = rows.filter(F.col("key") < end)
     return rows.orderBy("key") if ordered else rows
 
 
+def bounded(bound) -> bool:
+    return bound is not None and not (isinstance(bound, str | bytes) and not bound)
+
+
 def history(versions: DataFrame) -> DataFrame:
     """Every version with its age (1: newest) and valid_to, the seq of the version that replaced it."""
     up = Window.partitionBy("key").orderBy("seq", "ord")
