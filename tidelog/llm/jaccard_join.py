@@ -3,15 +3,16 @@
 Documents are sets of word shingles; two link when their Jaccard index reaches num / den.  The result is exact (up to equal 64-bit
 hashes of different shingles in one pair of documents).
 
-1. One pass counts in how many documents each word occurs, in `SLOTS` hashed counters over the whole corpus, and makes each
+1. One pass counts how often each word occurs, in `SLOTS` hashed counters over the whole corpus, and makes each
    document's set size, set digest and bitmap.  Equal sets are one class from here on.
 2. A second pass emits each class's necessary prefix: of n tokens the n - ceil(n num / den) + 1 that come first when the shingles
    are ordered by their rarest word.  Any linked pair shares a prefix token, and shared passages, whose words are frequent,
-   stand at the end.  Members of a token group without a neighbour of fitting size leave it.
-3. Signature trees work inside the token groups: nodes hold OR-combined bitmaps and size ranges, and a dual traversal drops node
-   pairs whose greatest possible overlap is too small.  Groups over `BLOCK` members are dealt as pairs of blocks to many tasks.
-4. Round one keeps a spanning forest of each group's candidate pairs, verifies it on the full sets and builds components.  Round
-   two traverses the groups again, passing over node pairs of one component, and verifies every candidate pair that is left.  A
+   stand at the end.  Members of a token group without a neighbour of fitting size leave it; groups with the same least member
+   are one block.
+3. Signature trees work inside the blocks: nodes hold OR-combined bitmaps and size ranges, and a dual traversal drops node pairs
+   whose greatest possible overlap is too small.  Blocks over `BLOCK` members are dealt as pairs of parts to many tasks.
+4. Round one keeps a spanning forest of each block's candidate pairs, verifies it on the full sets and builds components.  Round
+   two traverses the blocks again, passing over node pairs of one component, and verifies every candidate pair that is left.  A
    linked pair is thus either in one component already or verified itself: no link between components is lost, and a group of
    near copies never emits all its pairs.
 
@@ -37,13 +38,14 @@ from tidelog.llm.components import components
 from tidelog.llm.shingles import Shingler, bitmap, digest
 from tidelog.llm.signature_tree import Forest, group_candidates
 
-SLOTS = 1 << 16
+SLOT_BITS = 18
+SLOTS = 1 << SLOT_BITS
 BLOCK = 4096
 SEEN = 1 << 18
 
 
 def _slots(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint64(48)).astype(np.int64)
+    return (words >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 def describe(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -53,14 +55,16 @@ def describe(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
         shingler, counts = Shingler(k), np.zeros(SLOTS, np.int64)
         names, id_type = ["id", "n", "key", "bits"], None
         for batch in batches:
-            id_type, sizes, keys, maps = batch.column(0).type, [], [], []
+            id_type, sizes, keys, maps, every = batch.column(0).type, [], [], [], []
             for text in batch.column(1):
                 words = shingler.words(text.as_py())
-                counts += np.bincount(_slots(np.unique(words)), minlength=SLOTS)
+                every.append(_slots(words))
                 tokens = np.unique(shingler.grams(words))
                 sizes.append(len(tokens))
                 keys.append(digest(tokens) if len(tokens) else None)
                 maps.append(bitmap(tokens).tobytes() if len(tokens) else None)
+            if every:
+                counts += np.bincount(np.concatenate(every), minlength=SLOTS)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(maps, pa.binary())], names=names)
         if id_type is not None:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=names)
@@ -122,25 +126,27 @@ def prefixes(df: DataFrame, text_col: str, k: int, num: int, den: int, counts: n
     return df.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "token bigint, key binary, n bigint")
 
 
-def shared_prefixes(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """The postings that have another class of fitting size in their token group."""
+def blocks_of(postings: DataFrame, num: int, den: int) -> DataFrame:
+    """(block, key): the members of the token groups, those without a class of fitting size beside them left out.  Groups with the
+    same least member make one block, so that near copies, which share most of their prefix, meet once and not once a token."""
     order = Window.partitionBy("token").orderBy("n", "key")
     near = postings.withColumn("again", F.lag("key").over(order) == F.col("key")).filter("again IS NULL OR NOT again").drop("again")
     near = near.withColumn("below", F.lag("n").over(order)).withColumn("above", F.lead("n").over(order))
-    return near.filter((F.col("below") * den >= F.col("n") * num) | (F.col("n") * den >= F.col("above") * num)).select("token", "key", "n")
+    near = near.filter((F.col("below") * den >= F.col("n") * num) | (F.col("n") * den >= F.col("above") * num))
+    return near.withColumn("block", F.min("key").over(Window.partitionBy("token"))).select("block", "key").distinct()
 
 
-def dealt(shared: DataFrame) -> DataFrame:
-    """(token, i, j, side, key, n): each posting in every pair of blocks that it belongs to; one block for groups up to BLOCK."""
-    blocks = shared.groupBy("token").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).filter("blocks > 1").withColumnRenamed("token", "big")
-    own = shared.join(blocks, shared["token"] == blocks["big"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j"), F.when(F.col("own") <= other, 0).otherwise(1).alias("side")))
-    return own.select("token", "key", "n", F.explode(pairs).alias("p")).select("token", "p.i", "p.j", "p.side", "key", "n")
+def dealt(members: DataFrame) -> DataFrame:
+    """(block, i, j, side, key): blocks over BLOCK members are cut in parts, and each member goes to every pair of parts with its own."""
+    large = members.groupBy("block").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts")).filter("parts > 1").withColumnRenamed("block", "big")
+    own = members.join(large, members["block"] == large["big"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j"), F.when(F.col("own") <= other, 0).otherwise(1).alias("side")))
+    return own.select("block", "key", F.explode(pairs).alias("p")).select("block", "p.i", "p.j", "p.side", "key")
 
 
 def candidate_pairs(grouped: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """(a, b) keys of candidate pairs: a spanning forest of each group, or all pairs across labels."""
-    rows = grouped.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    """(a, b) keys of candidate pairs: a spanning forest of each block, or all pairs across labels."""
+    rows = grouped.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
 
     def of_group(keys, sizes, maps, labels, sides) -> list[tuple[bytes, bytes]]:
         own: dict = {}
@@ -158,7 +164,7 @@ def candidate_pairs(grouped: DataFrame, num: int, den: int, forest: bool) -> Dat
         held, at = None, None
 
         def groups(columns: list[list]) -> Iterator[list[list]]:
-            """Cuts columns (token, i, j, ...) into groups; the last group is held back."""
+            """Cuts columns (block, i, j, ...) into groups; the last group is held back."""
             nonlocal held
             marks = list(zip(*columns[:3], strict=True))
             start = 0
@@ -193,7 +199,7 @@ def candidate_pairs(grouped: DataFrame, num: int, den: int, forest: bool) -> Dat
         if held is not None and (out := take(held)):
             yield packed(out)
 
-    return rows.select("token", "i", "j", "side", "key", "n", "bits", "label").mapInArrow(run, "a binary, b binary").distinct()
+    return rows.select("block", "i", "j", "side", "key", "n", "bits", "label").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def sets_of(df: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame) -> DataFrame:
@@ -233,9 +239,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     described = materialize(describe(df, id_col, text_col, k), "described")
     docs = described.filter("n IS NOT NULL")
     counts = word_counters(described)
-    shared = materialize(shared_prefixes(prefixes(df, text_col, k, num, den, counts), num, den), "shared")
-    heads = materialize(docs.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("bits").alias("bits")), "heads")
-    grouped = materialize(dealt(shared).join(heads.select("key", "bits"), "key"), "grouped")
+    members = materialize(blocks_of(prefixes(df, text_col, k, num, den, counts), num, den), "members")
+    heads = materialize(docs.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "heads")
+    grouped = materialize(dealt(members).join(heads.select("key", "n", "bits"), "key"), "grouped")
 
     def round_of(labels: DataFrame | None, forest: bool) -> DataFrame:
         rows = grouped.withColumn("label", F.lit(None).cast("binary")) if labels is None else grouped.join(labels.withColumnRenamed("node", "key"), "key", "left")
