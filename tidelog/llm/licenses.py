@@ -2,9 +2,9 @@
 
 Texts and templates are cut into shingles of `K` words, and these into windows of `WINDOW` shingles, one starting at every
 shingle.  A window has `BANDS` MinHash values, each a band of its own; a window of the corpus retrieves every template window that
-shares a band.  A template of one shingle stands in windows with a Jaccard index of 1/4 or more and is retrieved by each of them
-with probability 1 - (3/4)^16 = 0.99; for two shingles and more it is 1 - (1/2)^16, and an exact copy of a whole window collides
-surely.  Each retrieved alignment is verified: the template matches if at least `LEAST` of its shingles stand, word by word, in the
+shares a band.  A template of one shingle stands in four windows with a Jaccard index of 1/4 or more, each of which retrieves it
+with probability 1 - (3/4)^8 = 0.90, all four together with more than 0.99; for two shingles and more a window has 1 - (1/2)^8,
+and an exact copy of a whole window collides surely.  Each retrieved alignment is verified: the template matches if at least `LEAST` of its shingles stand, word by word, in the
 stretch of the document that it is laid on, with a fifth of its length as play at either end.
 
 The corpus is read and cut once; the template windows are a parameter of bounded size (`MOST` windows, else an error), so their
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import table
 from tidelog.llm.decontamination import positions, shingle_hash, words_of
 
-K, WINDOW, BANDS, LEAST, MOST = 5, 4, 16, 0.8, 20_000
+K, WINDOW, BANDS, LEAST, MOST = 5, 4, 8, 0.8, 20_000
+WINDOWS = f"array<struct<at:int,{','.join(f'h{d}:bigint' for d in range(WINDOW))}>>"
 #: Wording of public license notices.
 TEMPLATES = (
     ("MIT-line", "Released under the MIT License."),
@@ -50,17 +51,25 @@ def shingles(words: Column) -> Column:
     return F.array_distinct(F.transform(positions(F.size(words), K), lambda i: F.array_join(F.slice(words, i + 1, K), " ")))
 
 
-def band(hashes: Column, at: Column, number: int) -> Column:
-    """The number-th MinHash of the window at `at`: the least of its shingle hashes under the number-th permutation."""
+def windows_of(hashes: Column) -> Column:
+    """The windows of WINDOW shingle hashes in a row, as structs of at and h0, h1, ...; at the end of a text fields are null."""
+    n = F.size(hashes)
+    shifted = [F.slice(hashes, d + 1, F.greatest(F.lit(0), n - d)).alias(f"h{d}") for d in range(WINDOW)]
+    return F.when(n > 0, F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("at"), *shifted)).otherwise(F.array().cast(WINDOWS))
+
+
+def band(number: int) -> Column:
+    """The number-th MinHash of a window in columns h0, h1, ...: its least hash under the number-th permutation."""
     seed = F.lit((number * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) & 0x7FFFFFFFFFFFFFFF)
-    return F.least(*[F.get(hashes, at + d).bitwiseXOR(seed) for d in range(WINDOW)])
+    return F.least(*[F.col(f"h{d}").bitwiseXOR(seed) for d in range(WINDOW)])
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """(id, text_key, licenses) for every row of docs; templates: (template, text)."""
     given = templates.filter("template IS NOT NULL").select("template", words_of(F.col("text")).alias("tw")).filter(F.size("tw") >= K)
-    windows = given.select("template", "tw", shingle_hashes(F.col("tw")).alias("th")).select("template", "tw", "th", F.explode(F.sequence(F.lit(0), F.size("th") - 1)).alias("offset"))
-    bands = windows.select("template", "offset", F.size("tw").alias("length"), shingles(F.col("tw")).alias("tokens"), F.posexplode(F.array(*[band(F.col("th"), F.col("offset"), j) for j in range(BANDS)])).alias("j", "value"))
+    windows = given.select("template", "tw", shingle_hashes(F.col("tw")).alias("th")).select("template", "tw", F.inline(windows_of(F.col("th"))))
+    every_band = F.array(*[band(j) for j in range(BANDS)])
+    bands = windows.select("template", F.col("at").alias("offset"), F.size("tw").alias("length"), shingles(F.col("tw")).alias("tokens"), F.posexplode(every_band).alias("j", "value"))
     known: dict[int, set[int]] = {j: set() for j in range(BANDS)}
     for row in bands.select("j", "value").distinct().limit(BANDS * MOST + 1).collect():
         known[row["j"]].add(row["value"])
@@ -69,13 +78,12 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
 
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_key"), words_of(F.col(text_col)).alias("w"))
     hashed = base.withColumn("h", shingle_hashes(F.col("w")))
-    every = F.concat(F.array(F.lit(-1)), F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1)).otherwise(F.array().cast("array<int>")))
-    placed = hashed.select("id", "text_key", "w", "h", F.explode(every).alias("at"))
+    itself = F.array(F.struct(F.lit(-1).alias("at"), *[F.lit(None).cast("bigint").alias(f"h{d}") for d in range(WINDOW)]))
+    placed = hashed.select("id", "text_key", "w", F.inline(F.concat(itself, windows_of(F.col("h")))))  # at = -1: the row itself
     hit = F.col("at") < 0
     for j in range(BANDS):
-        hit = hit | band(F.col("h"), F.col("at"), j).isin(sorted(known[j]))
-    found = placed.filter(hit)
-    retrieved = found.select("id", "text_key", "w", "at", F.posexplode_outer(F.when(F.col("at") >= 0, F.array(*[band(F.col("h"), F.col("at"), j) for j in range(BANDS)]))).alias("j", "value"))
+        hit = hit | band(j).isin(sorted(known[j]))
+    retrieved = placed.filter(hit).select("id", "text_key", "w", "at", F.posexplode_outer(F.when(F.col("at") >= 0, every_band)).alias("j", "value"))
     joined = retrieved.join(F.broadcast(bands), ["j", "value"], "left").filter("at < 0 OR template IS NOT NULL")
     play = F.ceil(F.col("length") / 5).cast("int")
     start = F.greatest(F.lit(0), F.col("at") - F.col("offset") - play)
