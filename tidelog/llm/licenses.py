@@ -2,9 +2,8 @@
 
 Texts and templates are cut into shingles of `K` words, and these into windows of `WINDOW` shingles, one starting at every
 shingle.  A window has `BANDS` MinHash values, each a band of its own; a window of the corpus retrieves every template window that
-shares a band.  A template of one shingle stands in four windows with a Jaccard index of 1/4 or more, each of which retrieves it
-with probability 1 - (3/4)^8 = 0.90, all four together with more than 0.99; for two shingles and more a window has 1 - (1/2)^8,
-and an exact copy of a whole window collides surely.  Each retrieved alignment is verified: the template matches if at least `LEAST` of its shingles stand, word by word, in the
+shares a band.  A template of one shingle stands in two windows with a Jaccard index of 1/2 or more, each of which retrieves it
+with probability 1 - (1/2)^10 > 0.999; an exact copy of a whole window, as any longer template has in its copies, collides surely.  Each retrieved alignment is verified: the template matches if at least `LEAST` of its shingles stand, word by word, in the
 stretch of the document that it is laid on, with a fifth of its length as play at either end.
 
 The corpus is read and cut once; the template windows are a parameter of bounded size (`MOST` windows, else an error), so their
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import table
 from tidelog.llm.decontamination import positions, shingle_hash, words_of
 
-K, WINDOW, BANDS, LEAST, MOST = 5, 4, 8, 0.8, 20_000
+K, WINDOW, BANDS, LEAST, MOST = 5, 2, 10, 0.8, 20_000
 WINDOWS = f"array<struct<at:int,{','.join(f'h{d}:bigint' for d in range(WINDOW))}>>"
 #: Wording of public license notices.
 TEMPLATES = (
@@ -60,7 +59,7 @@ def windows_of(hashes: Column) -> Column:
 
 def band(number: int) -> Column:
     """The number-th MinHash of a window in columns h0, h1, ...: its least hash under the number-th permutation."""
-    seed = F.lit((number * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) & 0x7FFFFFFFFFFFFFFF)
+    seed = F.lit((number * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) % (1 << 64) - (1 << 63))  # the sign bit too must vary
     return F.least(*[F.col(f"h{d}").bitwiseXOR(seed) for d in range(WINDOW)])
 
 
