@@ -101,7 +101,8 @@ SPELLED_WORD = re.compile(rf"(?:{_ONE}|[0-9])", re.I)
 #: Words that no run of MIN_SPELLED can do without, as they stand after a split at white space, commas and hyphens.
 TRIGGERS = frozenset(SPELLED)
 BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot|point|punkt)\s*[\])}>]\s*", re.I)
-BARE = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]+)( +at +)([A-Za-z0-9-]+(?:(?: +dot +|\.)[A-Za-z0-9-]+)* +dot +[A-Za-z0-9-]+)(?!\w)", re.I)
+#: Host names never begin with these words; prose does ("at the dot com").
+BARE = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]+)( +at +)(?!(?:the|a|an|this|that|my|our|your|his|her|their|its|every|each) )([A-Za-z0-9-]+(?:(?: +dot +|\.)[A-Za-z0-9-]+)* +dot +[A-Za-z]{2,})(?!\w)", re.I)
 BARE_DOT = re.compile(r" +dot +", re.I)
 
 
