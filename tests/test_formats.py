@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions import bloom, codec
-from tidelog.sources import wal
+from tidelog.sources import tables, wal
 
 
 def test_crc32c(spark):
@@ -83,6 +83,24 @@ def test_batches_and_segments():
     assert [len(list(wal.frames(p))) for p in parts] == [2, 2, 1]
 
 
+def test_tables(spark, tmp_path):
+    rows = [(f"k{i:05d}".encode(), b"v" * (i % 90)) for i in range(3000)]
+    data = tables.build(rows)
+    table = tables.Table(data)
+    assert len(table.blocks) > 5 and list(table.scan()) == rows
+    assert table.get(b"k00042") == b"v" * 42 and table.get(b"k00000") == b"" and table.get(b"zz") is None and table.get(b"") is None
+    assert list(table.scan(b"k00010", b"k00013")) == rows[10:13] and list(table.scan(b"zz")) == []
+    assert all(table.may_contain(k) for k, _ in rows) and np.mean([table.may_contain(b"x%d" % i) for i in range(2000)]) < 0.03
+    assert list(tables.Table(tables.build([])).scan()) == []
+    for bad in ([(b"b", b""), (b"a", b"")], [(b"a", b""), (b"a", b"")]):
+        with pytest.raises(ValueError, match="ascend"):
+            tables.build(bad)
+    with pytest.raises(wal.Corrupt):
+        tables.Table(data[:-1])
+    (tmp_path / "1.sst").write_bytes(data)
+    assert tables.read_tables(spark, [f"file://{tmp_path}/1.sst"]).count() == 3000
+
+
 def test_valid_prefix(spark):
     rows = spark.createDataFrame([(1, 0, False), (1, 1, True), (1, 2, False), (2, 0, False)], "segment int, offset int, bad boolean")
     assert sorted((r["segment"], r["offset"]) for r in wal.valid_prefix(rows).collect()) == [(1, 0), (2, 0)]

@@ -1,4 +1,4 @@
-"""A small command shell: SET, GET, DEL, SCAN, BEGIN, INCR, COMMIT, ROLLBACK, INFO, FLUSH, COMPACT, BACKUP."""
+"""A small command shell: SET, GET, DEL, SCAN, BEGIN, INCR, COMMIT, ROLLBACK, INFO, INSPECT, FLUSH, COMPACT, BACKUP."""
 
 from __future__ import annotations
 
@@ -71,6 +71,10 @@ class Shell:
     def do_info(self) -> str:
         return "\n".join(f"{k}: {v}" for k, v in self.db.info().items())
 
+    def do_inspect(self) -> str:
+        """The runs of the present manifest."""
+        return "\n".join(f"{r['run_id']} {r['path']} {r['min_key'].decode(errors='replace')}..{r['max_key'].decode(errors='replace')} rows={r['n_rows']} level={r['level']}" for r in self.db.current["runs"])
+
     def do_flush(self) -> str:
         self.db.flush()
         return "OK"
