@@ -68,6 +68,11 @@ def newton(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> np.ndarray:
     return w
 
 
+def views(t: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """What the combination weighs: either calibrated view, and the worse of the two, as one good view does not excuse a bad one."""
+    return np.column_stack([t, m, np.minimum(t, m)])
+
+
 def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -105,7 +110,7 @@ class Model:
         m = self.meta[self.meta_columns(np.stack([layout(x) for x in texts]), labels)].sum(axis=1) + self.meta[-1]
         a, b, c, d = self.calibration
         t, m = a * t + b, c * m + d
-        return np.column_stack([sigmoid(t), sigmoid(m), sigmoid(self.combination[0] * t + self.combination[1] * m + self.combination[2])])
+        return np.column_stack([sigmoid(t), sigmoid(m), sigmoid(views(t, m) @ self.combination[:-1] + self.combination[-1])])
 
 
 def telling(hashed: list[np.ndarray], texts: list[str | None], train: np.ndarray, y: np.ndarray, most: int) -> list[str]:
@@ -176,7 +181,7 @@ def co_train(texts: list[str | None], labels: list[tuple], y: np.ndarray, featur
             more[taker] = {int(i): float(q >= 0.5) for i, q in zip(pool, p, strict=True) if max(q, 1 - q) >= sure}
     model.vocabulary, model.text_bias = {w: float(x) for w, x in zip(chosen, tw, strict=False) if abs(x) > 1e-4}, float(tw[-1])
     model.meta, model.calibration = mw, np.array([*ta, *ma])
-    model.combination = newton(np.column_stack([t[held], m[held]]), y[held], 0.1)
+    model.combination = newton(views(t[held], m[held]), y[held], 0.1)
     return model
 
 
