@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.sources.shared import materialize
+
 
 def prune_runs(probes: DataFrame, manifest: DataFrame) -> DataFrame:
     """(key, run_id) of the runs whose key range holds the probe.  A manifest has a row for each run, not for each key; Spark
@@ -13,17 +15,15 @@ def prune_runs(probes: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def find_block(probes: DataFrame, index: DataFrame) -> DataFrame:
-    """Each probe with the first block whose last key is not below it; null beyond the run.  One sort of both sides by key: blocks
-    and probes are merged, and the next block behind a probe is the least last key that follows it."""
-    both = probes.select("key", F.lit(0).alias("is_block"), F.lit(None).cast("binary" if dict(index.dtypes)["last_key"] == "binary" else "string").alias("last_key"))
+    """Each probe with the first block whose last key is not below it; null beyond the run.  Blocks and probes are merged in key
+    ranges of even size, whatever the keys begin with: the next block behind a probe is the first last key that follows it, and
+    behind the last block of a range comes the first one of a later range.  The list of ranges has a row for each partition."""
+    both = probes.select("key", F.lit(0).alias("is_block"), F.lit(None).cast(dict(index.dtypes)["last_key"]).alias("last_key"))
     both = both.unionByName(index.select(F.col("last_key").alias("key"), F.lit(1).alias("is_block"), "last_key"))
-    # A key range each, so that the merge is not one task: ranges come from the first byte of the key.
-    ranged = both.withColumn("part", F.substring(F.hex(F.col("key").cast("binary")), 1, 2))
+    ranged = materialize(both.repartitionByRange("key").withColumn("part", F.spark_partition_id()), "ranges")
     ahead = Window.partitionBy("part").orderBy("key", "is_block").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     inner = ranged.withColumn("near", F.first("last_key", ignorenulls=True).over(ahead)).filter("is_block = 0")
-    # Beyond the last block of a range comes the first block of the next range that has one; at most 257 ranges.
-    firsts = ranged.filter("is_block = 1").groupBy("part").agg(F.min("last_key").alias("first_key"))
-    parts = ranged.select("part").distinct().join(firsts, "part", "left")
+    parts = ranged.groupBy("part").agg(F.min("last_key").alias("first_key"))
     after = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)
     parts = parts.withColumn("next_key", F.first("first_key", ignorenulls=True).over(after)).select("part", "next_key")
     return inner.join(F.broadcast(parts), "part").select("key", F.coalesce("near", "next_key").alias("last_key"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import bloom, codec
 from tidelog.operators import compaction, lookup, state, transactions
 from tidelog.sources import logs, runs, wal
+from tidelog.sources.shared import shared_dir
 from tidelog.streaming import live
 
 E_SQL = """SELECT cast(user_id AS VARCHAR) AS key, event_id + 1 AS seq, 0 AS ord, CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS kind,
@@ -282,8 +283,7 @@ def kv_key_order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(LIVE_E)
 def kv_stream_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files, folded into the newest version of each key, then read as a table."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tidelog"
-    at = f"{base}/tidelog-stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/tidelog/stream-{uuid.uuid4().hex}"
     log = logs.events_log(spark, sf_dir)
     log.write.parquet(f"{at}/log")
     stream = live.read_log_stream(spark, f"{at}/log", log.schema)

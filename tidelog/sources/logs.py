@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.model import DELETE, PUT
+from tidelog.sources.shared import materialize
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +34,10 @@ def decode_batches(packed: DataFrame) -> DataFrame:
 
 def number_batches(df: DataFrame, order: str, start: int = 1) -> DataFrame:
     """df with consecutive sequence numbers from `start` in order of a column: range partitions are numbered on their own and
-    shifted by the counts of those before them, so no task sees the whole table."""
+    shifted by the counts of those before them, so no task sees the whole table.  The partitions are written first, as their bounds
+    are sampled and another run could draw others."""
     ordered = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
+    ordered = materialize(ordered, "numbered")
     part = F.shiftright("_id", 33)
     counts = ordered.groupBy(part.alias("_p")).agg(F.count("*").alias("n")).orderBy("_p").collect()  # one row for each partition
     first, at = {}, start
