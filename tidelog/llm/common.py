@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.sources.shared import materialize, shared_dir
+
+__all__ = ["ascii_lower", "materialize", "shared_dir", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -19,20 +20,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z only, whatever the locale."""
     return F.translate(col, UPPER, LOWER)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a folder of our own only where the session names none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder as Parquet and reads it again: the lineage ends here, lost executors cost no recomputation
-    of what stands above, and later readers prune columns."""
-    path = f"{shared_dir(df.sparkSession)}/tidelog/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
