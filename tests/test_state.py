@@ -130,3 +130,18 @@ def test_compaction_policies():
     picked, target = compaction.pick_leveled(level, 1000)
     assert target == 1 and [r["run_id"] for r in picked] == [0, 1, 2, 3, 9]
     assert compaction.pick_leveled(level[4:], 1000) is None
+
+
+def test_greedy_groups(spark):
+    rng = random.Random(5)
+    rows = [(s, i, rng.choice([1, 40, 99, 100, 101, 250])) for s in "ab" for i in range(400)]
+    want, used, no, at = {}, 0, 0, None
+    for s, i, n in rows:
+        if s != at:
+            at, used, no = s, 0, 0
+        if used and used + n > 100:
+            no, used = no + 1, 0
+        used += n
+        want[(s, i)] = no
+    df = spark.createDataFrame(rows, "s string, i long, n long").repartition(3)
+    assert {(r["s"], r["i"]): r["group_no"] for r in lookup.greedy_groups(df, "s", "i", "n", 100).collect()} == want

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,17 +40,30 @@ def newest_run_first(versions: DataFrame, run: str = "run_id") -> DataFrame:
 
 
 def greedy_groups(rows: DataFrame, stream: str, pos: str, size: str, cap: int) -> DataFrame:
-    """rows with group_no: sizes are added in order of pos and a group is closed before the row that would exceed the cap, as
-    segments are rotated and blocks are cut.  Each stream (a writer) is sequential by nature and folded in one row."""
-    packed = rows.groupBy(stream).agg(F.sort_array(F.collect_list(F.struct(pos, size))).alias("_all"))
-
-    def step(acc, x):
-        full = (acc["used"] > 0) & (acc["used"] + x[size] > cap)
-        no = F.when(full, acc["no"] + 1).otherwise(acc["no"])
-        used = F.when(full, x[size]).otherwise(acc["used"] + x[size])
-        return F.struct(used.cast("long").alias("used"), no.cast("int").alias("no"), F.concat(acc["out"], F.array(F.struct(x[pos].alias(pos), no.cast("int").alias("group_no")))).alias("out"))
-
-    kind = dict(rows.dtypes)[pos]
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("no"), F.array().cast(f"array<struct<{pos}:{kind},group_no:int>>").alias("out"))
-    folded = packed.select(stream, F.explode(F.aggregate("_all", start, step)["out"]).alias("_x")).select(stream, f"_x.{pos}", "_x.group_no")
-    return rows.join(folded, [stream, pos])
+    """(stream, pos, group_no): sizes are added in order of pos and a group is closed before the row that would exceed the cap, as
+    segments are rotated and blocks are cut.  A stream (a writer) is sequential by nature: its rows are sorted and pass through one
+    task, which holds one Arrow batch and finds each cut by a search in running sums."""
+    kinds = dict(rows.dtypes)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, used, no = object(), 0, 0
+        for batch in batches:
+            names, sizes = batch.column(0).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            sums, out, i = np.concatenate([[0], np.cumsum(sizes)]), np.zeros(len(sizes), np.int32), 0
+            edges = [k for k in range(1, len(names)) if names[k] != names[k - 1]] + [len(names)]
+            for edge in edges:
+                if i < edge and names[i] != at:
+                    at, used, no = names[i], 0, 0
+                while i < edge:
+                    stop = min(edge, int(np.searchsorted(sums, cap - used + sums[i], side="right")) - 1)
+                    if stop <= i and used == 0:
+                        stop = i + 1  # a row above the cap is a group of its own
+                    out[i:stop] = no
+                    used += int(sums[stop] - sums[i]) if stop > i else 0
+                    i = max(i, stop)
+                    if i < edge:
+                        no, used = no + 1, 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=[stream, pos, "group_no"])
+
+    ordered = rows.select(stream, pos, F.col(size).cast("long").alias("_size")).repartition(stream).sortWithinPartitions(stream, pos)
+    return ordered.mapInArrow(cut, f"{stream} {kinds[stream]}, {pos} {kinds[pos]}, group_no int")

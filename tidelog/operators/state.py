@@ -58,9 +58,8 @@ def bounded(bound) -> bool:
 
 
 def history(versions: DataFrame) -> DataFrame:
-    """Every version with its age (1: newest) and valid_to, the seq of the version that replaced it."""
-    up = Window.partitionBy("key").orderBy("seq", "ord")
-    return versions.withColumn("age", F.row_number().over(newest_first())).withColumn("valid_to", F.lead("seq").over(up))
+    """Every version with its age (1: newest) and valid_to, the seq of the version that replaced it; one sort serves both."""
+    return versions.withColumn("age", F.row_number().over(newest_first())).withColumn("valid_to", F.lag("seq").over(newest_first()))
 
 
 def tombstones(versions: DataFrame, ts: Column | int | None = None) -> DataFrame:
