@@ -203,13 +203,14 @@ def test_disguised_pii():
     cases = {
         "mail bob [at] example (dot) com now": "bob [at] example (dot) com", "write to jane at example dot org please": "jane at example dot org", "ｂｏｂ＠ｅｘａｍｐｌｅ．ｃｏｍ": "ｂｏｂ＠ｅｘａｍｐｌｅ．ｃｏｍ",
         "call plus four nine one five one two three four five six seven eight": "plus four nine one five one two three four five six seven eight",
+        "ask bob_at_example_dot_com ok": "bob_at_example_dot_com", "jane AT example DOT org": "jane AT example DOT org", "jim AT mail.example.net!": "jim AT mail.example.net",
         "ip one nine two dot one six eight dot zero dot one !": "one nine two dot one six eight dot zero dot one", "m\u200bax@exa\u200bmple.com": "m\u200bax@exa\u200bmple.com",
     }
     for text, want in cases.items():
         plain, added = pii.find_all(text)
         assert [text[a:b] for a, b, _ in added] == [want], (text, plain, added)
         assert plain == brute_pii(text)
-    for clean in ("we met at noon at the dot com bubble", "one two three", "Stand at ease. Dot the i's.", "one or two, three at most"):
+    for clean in ("we met at noon at the dot com bubble", "one two three", "Stand at ease. Dot the i's.", "one or two, three at most", "LOOK AT EXAMPLE.COM NOW", "look at example.com", "a_at_b"):
         assert pii.find_all(clean) == ([], [])
 
 

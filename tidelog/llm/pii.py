@@ -6,8 +6,8 @@ makes, each of which keeps for every output character the source span it stands
 1. characters: homoglyphs, full-width forms and foreign digits become ASCII, invisible characters vanish;
 2. spelled digits: a run of at least `MIN_SPELLED` spelled digits ("four nine double one", also German, French, Spanish), with
    "plus", "dot" and "point" among them, becomes the digits;
-3. disguises: "[at]", "(dot)" and their like become "@" and "."; bare " at " and " dot " only inside one whole
-   `name at host dot domain`, so that prose with the word "at" stays prose.
+3. disguises: "[at]", "(dot)", "_at_" and their like become "@" and "."; bare " at " and " dot " only inside one whole
+   `name at host dot domain`, or a capital AT before a whole host, so that prose with the word "at" stays prose.
 
 Identifiers of the normalised text are mapped back to source characters; those that overlap no plain span, or hold one of
 their kind and more, are added.
@@ -100,10 +100,12 @@ SPELLED_RUN = re.compile(rf"(?<!\w)(?:{_ONE}|[0-9])(?:[ ,-]{{1,2}}(?:{_ONE}|[0-9
 SPELLED_WORD = re.compile(rf"(?:{_ONE}|[0-9])", re.I)
 #: Words that no run of MIN_SPELLED can do without, as they stand after a split at white space, commas and hyphens.
 TRIGGERS = frozenset(SPELLED)
-BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot|point|punkt)\s*[\])}>]\s*", re.I)
+BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot|point|punkt)\s*[\])}>]\s*|(?<=[^\W_])[_*~]+(at|dot)[_*~]+(?=[^\W_])", re.I)
 #: Host names never begin with these words; prose does ("at the dot com").
 BARE = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]+)( +at +)(?!(?:the|a|an|this|that|my|our|your|his|her|their|its|every|each) )([A-Za-z0-9-]+(?:(?: +dot +|\.)[A-Za-z0-9-]+)* +dot +[A-Za-z]{2,})(?!\w)", re.I)
 BARE_DOT = re.compile(r" +dot +", re.I)
+#: A capital AT after a name that is not in capitals, before a whole host.
+CAPITAL = re.compile(r"(?<![\w.%+-])(?=[A-Z]*[a-z0-9])([A-Za-z0-9._%+-]+)( +AT +)([A-Za-z0-9-]+(?:(?: +DOT +|\.)[A-Za-z0-9-]+)*(?: +DOT +|\.)[A-Za-z]{2,})(?!\w)")
 
 
 def one_char(c: str) -> str:
@@ -179,9 +181,9 @@ def spelled_digits(text: str) -> list[tuple[int, int, str]]:
 
 
 def disguises(text: str) -> list[tuple[int, int, str]]:
-    edits = [(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in BRACKETED.finditer(text)]
-    taken = [(a, b) for a, b, _ in edits]
-    for m in BARE.finditer(text):
+    edits = [(m.start(), m.end(), "@" if (m[1] or m[2]).lower() == "at" else ".") for m in BRACKETED.finditer(text)]
+    for m in (*BARE.finditer(text), *(CAPITAL.finditer(text) if " AT " in text else ())):
+        taken = [(a, b) for a, b, _ in edits]
         own = [(m.start(2), m.end(2), "@")] + [(m.start(3) + d.start(), m.start(3) + d.end(), ".") for d in BARE_DOT.finditer(m[3])]
         if not any(a < e and s < b for s, e, _ in own for a, b in taken):
             edits += own
@@ -197,7 +199,7 @@ def normalise(text: str) -> Mapped | None:
     if sum(w in TRIGGERS for w in lowered.replace("-", " ").replace(",", " ").split()) >= MIN_SPELLED:
         out.rewrite(spelled_digits(out.text))
         lowered = out.text.lower()
-    if "dot" in lowered or "at]" in lowered or BRACKETED.search(out.text):
+    if "dot" in lowered or " AT " in out.text or BRACKETED.search(out.text):
         out.rewrite(disguises(out.text))
     return out if out.starts is not None else None
 
