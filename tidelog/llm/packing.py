@@ -35,13 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import table
+from tidelog.llm.common import give_back, small_batches, table
 from tidelog.llm.token_counts import byte_letters
 
 CAPACITY = 4096
 END_ID = 2
 BATCH = 1024
 CACHE = 1 << 19
+SIGNS = frozenset(".,!?;:")
+PACK = [struct.Struct(f"<{n}I").pack for n in range(33)]
 #: Characters at which Python's split() parts a text although the library keeps them as symbols.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 WHITE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -64,6 +66,8 @@ class ChunkEncoder:
             raise ValueError("chunks are independent only under a splitter that drops white space")
         self.letters = byte_letters()
         self.pattern = regex.compile(rule)
+        if any(not x["content"].startswith("<") for x in config["added_tokens"]):
+            raise ValueError("added tokens are looked for behind a < only")
         self.special = re.compile("|".join(re.escape(x["content"]) for x in config["added_tokens"]) or r"(?!)")
 
     def chunks(self, text: str) -> list[str]:
@@ -72,20 +76,34 @@ class ChunkEncoder:
     def learn(self, missing: list[str]) -> None:
         if len(self.cache) + len(missing) > CACHE:
             self.cache.clear()
+        cache, simple, whole, special = self.cache, self.simple, self.whole, self.special.search
         for chunk in missing:
-            self.cache[chunk] = self.simple(chunk) if max(chunk) < "\u0100" and not self.special.search(chunk) else self.whole(chunk)
+            cache[chunk] = simple(chunk) if (chunk.isascii() or max(chunk) < "\u0100") and ("<" not in chunk or not special(chunk)) else whole(chunk)
+
+    def forget(self) -> None:
+        """Empties the caches at the end of a task: Python workers are used again, and their memory adds up with later stages'."""
+        self.cache.clear()
+        self.words.clear()
 
     def whole(self, chunk: str) -> bytes:
         ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def simple(self, chunk: str) -> bytes:
-        """A Latin-1 chunk: composed already, lower case character by character; its words go to the model alone."""
-        return b"".join([self.words.get(x) or self.word(x) for x in self.pattern.findall(chunk.lower())])
+        """A Latin-1 chunk: composed already, lower case character by character; its words go to the model alone.  Letters alone are
+        one word, and so is a sign behind them; other chunks are split by the pattern."""
+        low = chunk.lower()
+        if low.isalpha():
+            return self.words.get(low) or self.word(low)
+        head, last = low[:-1], low[-1]
+        if last in SIGNS and head.isalpha():
+            return (self.words.get(head) or self.word(head)) + (self.words.get(last) or self.word(last))
+        return b"".join([self.words.get(x) or self.word(x) for x in self.pattern.findall(low)])
 
     def word(self, word: str) -> bytes:
-        ids = [t.id for t in self.tokenizer.model.tokenize("".join([self.letters[b] for b in word.encode()]))]
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        letters = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
+        ids = [t.id for t in self.tokenizer.model.tokenize(letters)]
+        packed = PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
         if len(self.words) >= CACHE:
             self.words.clear()
         if len(word) <= 64:
@@ -155,6 +173,7 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, batch: int = BATCH, with_ids: bool = False) -> DataFrame:
     """A row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, its ids."""
+    small_batches(df.sparkSession)
     fields = [T.StructField(id_col, df.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))]
     schema = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
 
@@ -200,8 +219,10 @@ def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     yield batch_of(out)
                     out.clear()
         flush()
+        own.forget()
         if out:
             yield batch_of(out)
+        give_back()
 
     return df.select(id_col, F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema)
 
