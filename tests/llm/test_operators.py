@@ -298,7 +298,7 @@ def test_tree_never_drops_a_pair():
             own[:n] = rng.integers(0, 2**63, n).astype(np.uint64)
             sets.append(np.unique(own))
     maps, sizes = [shingles.bitmap(s).tobytes() for s in sets], np.array([len(s) for s in sets])
-    found = {tuple(sorted(p)) for a, b in signature_tree.group_candidates(maps, sizes, np.arange(len(sets)), np.zeros(len(sets), int), 90, 100) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    found = {tuple(sorted(p)) for a, b in signature_tree.group_candidates(maps, sizes, np.zeros(len(sets), int), 90, 100) for p in zip(a.tolist(), b.tolist(), strict=True)}
     for i in range(len(sets)):
         for j in range(i):
             both = len(np.intersect1d(sets[i], sets[j]))

@@ -11,10 +11,9 @@ hashes of different shingles in one pair of documents).
    are one block.
 3. Signature trees work inside the blocks: nodes hold OR-combined bitmaps and size ranges, and a dual traversal drops node pairs
    whose greatest possible overlap is too small.  Blocks over `BLOCK` members are dealt as pairs of parts to many tasks.
-4. Round one keeps a spanning forest of each block's candidate pairs, verifies it on the full sets and builds components.  Round
-   two traverses the blocks again, passing over node pairs of one component, and verifies every candidate pair that is left.  A
-   linked pair is thus either in one component already or verified itself: no link between components is lost, and a group of
-   near copies never emits all its pairs.
+4. Members with a candidate partner fetch their full sets, and the traversal is done again on these: a candidate pair is passed
+   over if verified links connect it already, else its Jaccard index is computed.  No link between components is lost, and a
+   group of near copies never emits all its pairs, only links that connect it.  Components of the links come last.
 
 What is broadcast: the counters, `SLOTS` numbers, whatever the input.  Sets are fetched for candidate classes only.
 
@@ -26,21 +25,21 @@ other columns cannot clash.  Texts of any length are shingled whole.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import materialize, table
+from tidelog.llm.common import give_back, materialize, small_batches, table
 from tidelog.llm.components import components
 from tidelog.llm.shingles import Shingler, bitmap, digest
-from tidelog.llm.signature_tree import Forest, group_candidates
+from tidelog.llm.signature_tree import group_candidates
 
 SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
-BLOCK = 4096
+BLOCK = 2048
 SEEN = 1 << 18
 
 
@@ -56,9 +55,14 @@ def describe(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
         names, id_type = ["id", "n", "key", "bits"], None
         for batch in batches:
             id_type, sizes, keys, maps, every = batch.column(0).type, [], [], [], []
+            held = 0
             for text in batch.column(1):
                 words = shingler.words(text.as_py())
                 every.append(_slots(words))
+                held += len(words)
+                if held >= SLOTS:
+                    counts += np.bincount(np.concatenate(every), minlength=SLOTS)
+                    every, held = [], 0
                 tokens = np.unique(shingler.grams(words))
                 sizes.append(len(tokens))
                 keys.append(digest(tokens) if len(tokens) else None)
@@ -68,6 +72,8 @@ def describe(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(maps, pa.binary())], names=names)
         if id_type is not None:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=names)
+        del shingler, counts
+        give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, n bigint, key binary, bits binary")
@@ -83,7 +89,7 @@ def word_counters(described: DataFrame) -> np.ndarray:
                 total += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["bits"])
 
-    parts = described.filter("n IS NULL").select("bits").repartition(256).mapInArrow(add, "bits binary").coalesce(16).mapInArrow(add, "bits binary")
+    parts = described.filter("n IS NULL").select("bits").repartition(256).mapInArrow(add, "bits binary").repartition(16).mapInArrow(add, "bits binary")
     total = np.zeros(SLOTS, np.int64)
     for row in parts.collect():  # at most 16 rows of SLOTS counters
         total += np.frombuffer(zlib.decompress(row[0]), np.int64)
@@ -122,6 +128,8 @@ def prefixes(df: DataFrame, text_col: str, k: int, num: int, den: int, counts: n
                 sizes += [n] * len(own)
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens_out)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())], names=["token", "key", "n"])
+        del shingler, seen
+        give_back()
 
     return df.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "token bigint, key binary, n bigint")
 
@@ -144,62 +152,77 @@ def dealt(members: DataFrame) -> DataFrame:
     return own.select("block", "key", F.explode(pairs).alias("p")).select("block", "p.i", "p.j", "p.side", "key")
 
 
-def candidate_pairs(grouped: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """(a, b) keys of candidate pairs: a spanning forest of each block, or all pairs across labels."""
-    rows = grouped.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
-
-    def of_group(keys, sizes, maps, labels, sides) -> list[tuple[bytes, bytes]]:
-        own: dict = {}
-        numbers = np.array([own.setdefault(x if x is not None else k, len(own)) for k, x in zip(keys, labels, strict=True)])
-        if len(own) == 1:
-            return []
-        joined, out = Forest(len(keys)), []
-        for a, b in group_candidates(maps, np.array(sizes, np.int64), numbers, np.array(sides), num, den):
-            for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                if not forest or joined.join(x, y):
-                    out.append((min(keys[x], keys[y]), max(keys[x], keys[y])))
-        return out
+def by_group(rows: DataFrame, columns: list[str], work: Callable[[list[list]], list[tuple]], names: list[str], schema: str) -> DataFrame:
+    """work() on the columns of each (block, i, j), whose rows come together; a task holds one group and one Arrow batch."""
+    ordered = rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").select("block", "i", "j", *columns)
+    kinds = [pa.binary() if n in ("block", "key", "u", "v") else pa.int32() for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = None, None
+        held: list[list] | None = None
 
-        def groups(columns: list[list]) -> Iterator[list[list]]:
-            """Cuts columns (block, i, j, ...) into groups; the last group is held back."""
-            nonlocal held
-            marks = list(zip(*columns[:3], strict=True))
-            start = 0
-            for k in range(1, len(marks)):
-                if marks[k] != marks[k - 1]:
-                    yield [c[start:k] for c in columns]
-                    start = k
-            held = [c[start:] for c in columns]
-
-        def packed(pairs: list) -> pa.RecordBatch:
-            a, b = zip(*pairs, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-        def take(group: list[list]) -> list:
-            _, _, _, sides, keys, sizes, maps, labels = group
-            return of_group(keys, sizes, maps, labels, sides) if len(keys) > 1 else []
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            if not columns[0]:
+            given = [c.to_pylist() for c in batch.columns]
+            if not given[0]:
                 continue
             if held is not None:
-                columns = [h + c for h, c in zip(held, columns, strict=True)]
-            out: list = []
-            for group in groups(columns):
-                out += take(group)
-                if len(out) > 20_000:
-                    yield packed(out)
-                    out = []
+                given = [h + c for h, c in zip(held, given, strict=True)]
+            marks, start, out = list(zip(*given[:3], strict=True)), 0, []
+            for k in range(1, len(marks)):
+                if marks[k] != marks[k - 1]:
+                    if k - start > 1:
+                        out += work([c[start:k] for c in given])
+                    start = k
+            held = [c[start:] for c in given]  # the last group may go on in the next batch
             if out:
                 yield packed(out)
-        if held is not None and (out := take(held)):
+        if held is not None and len(held[0]) > 1 and (out := work(held)):
             yield packed(out)
+        give_back()
+
+    return ordered.mapInArrow(run, schema)
+
+
+def with_partners(members: DataFrame, num: int, den: int) -> DataFrame:
+    """The members (block, i, j, side, key) that have a candidate partner by the bitmaps in their signature trees."""
+
+    def work(group: list[list]) -> list[tuple]:
+        blocks, i, j, sides, keys, sizes, maps = group
+        found = np.zeros(len(keys), bool)
+        for a, b in group_candidates(maps, np.array(sizes, np.int64), np.array(sides), num, den):
+            found[a] = found[b] = True
+        return [(blocks[0], i[0], j[0], sides[x], keys[x]) for x in np.nonzero(found)[0].tolist()]
 
-    return rows.select("block", "i", "j", "side", "key", "n", "bits", "label").mapInArrow(run, "a binary, b binary").distinct()
+    return by_group(members, ["side", "key", "n", "bits"], work, ["block", "i", "j", "side", "key"], "block binary, i int, j int, side int, key binary")
+
+
+def links_of(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (u, v) that connect what links in each group: candidate pairs are verified on the full sets, those already connected
+    by verified links are passed over, and every verified link joins two parts, so a group gives fewer links than members."""
+
+    def work(group: list[list]) -> list[tuple]:
+        _, _, _, sides, keys, sets = group
+        sets = [np.frombuffer(s, np.uint64) for s in sets]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        part, out = np.arange(len(keys)), []
+        for a, b in group_candidates([bitmap(s).tobytes() for s in sets], sizes, np.array(sides), num, den):
+            for x in np.unique(a).tolist():
+                others = b[a == x]
+                others = others[part[others] != part[x]]
+                if not len(others):
+                    continue
+                every = np.concatenate([sets[y] for y in others])
+                at = np.minimum(np.searchsorted(sets[x], every), len(sets[x]) - 1)
+                both = np.add.reduceat((sets[x][at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[others])[:-1]]))
+                for y in others[den * both >= num * (sizes[x] + sizes[others] - both)].tolist():
+                    if part[x] != part[y]:
+                        part[part == part[y]] = part[x]
+                        out.append((keys[x], keys[y]))
+        return out
+
+    return by_group(members, ["side", "key", "tokens"], work, ["u", "v"], "u binary, v binary")
 
 
 def sets_of(df: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame) -> DataFrame:
@@ -217,25 +240,9 @@ def sets_of(df: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame
     return chosen.mapInArrow(run, "key binary, tokens binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
-
-    full = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(run, "u binary, v binary")
-
-
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id) for every row of df."""
+    small_batches(df.sparkSession)
     described = materialize(describe(df, id_col, text_col, k), "described")
     docs = described.filter("n IS NOT NULL")
     counts = word_counters(described)
@@ -243,17 +250,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     heads = materialize(docs.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "heads")
     grouped = materialize(dealt(members).join(heads.select("key", "n", "bits"), "key"), "grouped")
 
-    def round_of(labels: DataFrame | None, forest: bool) -> DataFrame:
-        rows = grouped.withColumn("label", F.lit(None).cast("binary")) if labels is None else grouped.join(labels.withColumnRenamed("node", "key"), "key", "left")
-        pairs = materialize(candidate_pairs(rows, num, den, forest), "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(heads.select("key", F.col("id").alias("first")), "key")
-        sets = materialize(sets_of(df, id_col, text_col, k, wanted).dropDuplicates(["key"]), "sets")
-        return verified(pairs, sets, num, den)
-
-    first = materialize(round_of(None, True), "links")
-    labels = materialize(components(first), "labels")
-    second = materialize(round_of(labels, False), "links")
-    labels = components(first.unionByName(second))
+    partners = materialize(with_partners(grouped, num, den), "partners")
+    wanted = partners.select("key").distinct().join(heads.select("key", F.col("id").alias("first")), "key")
+    sets = sets_of(df, id_col, text_col, k, wanted).dropDuplicates(["key"])
+    links = materialize(links_of(partners.join(sets, "key"), num, den), "links")
+    labels = components(links)
 
     named = heads.select("key", "id").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = named.groupBy("label").agg(F.min("id").alias("component"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import table
+from tidelog.llm.common import small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -239,6 +239,7 @@ def mask(text: str, spans: list[Span]) -> str:
 
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_<kind> of plain spans, base_sha256, spans, n_added) for every row of df, without a shuffle."""
+    small_batches(df.sparkSession)
     schema = T.StructType([
         T.StructField(id_col, df.schema[id_col].dataType), *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS),
         T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType()),
@@ -262,6 +263,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def mask_pii(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """df with every identifier of the text replaced by its kind, and the length column, if there is one, counted again.
     Null texts stay null."""
+    small_batches(df.sparkSession)
 
     @F.pandas_udf(T.StringType())
     def masked(texts):

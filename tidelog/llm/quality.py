@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import table
+from tidelog.llm.common import small_batches, table
 
 SAMPLE, POOL, FEATURES = 6000, 2000, 512
 ROUNDS, SURE, LEAST_DF, LEAST_Z = 3, 0.98, 4, 4.0
@@ -216,11 +216,13 @@ def quality_scores(model: Model, text: Column, meta: list[Column]) -> Column:
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source"), least: float = KEEP_FROM) -> DataFrame:
     """The rows of docs with a score of at least `least`; all columns stay."""
+    small_batches(docs.sparkSession)
     model = quality_model(docs, labels, id_col, text_col, meta_cols)
     return docs.filter(quality_scores(model, docs[text_col], [docs[c] for c in meta_cols])["score"] >= least)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     model = quality_model(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", quality_scores(model, F.col("text"), [F.col("lang"), F.col("source")]).alias("s"))

@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 import xxhash
 
-CACHE = 1 << 19
+CACHE = 1 << 17
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

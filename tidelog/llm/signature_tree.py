@@ -12,60 +12,35 @@ LEAF, FANOUT = 32, 8
 
 
 class Node:
-    __slots__ = ("bits", "high", "kids", "label", "low", "members", "spare")
+    __slots__ = ("bits", "high", "kids", "low", "members", "spare")
 
-    def __init__(self, bits, low, high, spare, label, kids, members):
-        self.bits, self.low, self.high, self.spare, self.label, self.kids, self.members = bits, low, high, spare, label, kids, members
-
-
-class Forest:
-    """Union-find over member numbers."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
+    def __init__(self, bits, low, high, spare, kids, members):
+        self.bits, self.low, self.high, self.spare, self.kids, self.members = bits, low, high, spare, kids, members
 
 
 class Tree:
-    """One tree over members of one bitmap width, ordered by size.  labels: members of one label need no comparison."""
+    """One tree over members of one bitmap width, ordered by size."""
 
-    def __init__(self, maps: np.ndarray, sizes: np.ndarray, labels: np.ndarray, members: np.ndarray):
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, members: np.ndarray):
         order = np.lexsort((maps[:, 0], sizes))
-        self.maps, self.sizes, self.labels, self.members = maps[order], sizes[order], labels[order], members[order]
+        self.maps, self.sizes, self.members = maps[order], sizes[order], members[order]
         spare = self.sizes - np.bitwise_count(self.maps).sum(axis=1, dtype=np.int64)
         level = []
         for a in range(0, len(order), LEAF):
             b = min(a + LEAF, len(order))
-            own = self.labels[a:b]
-            level.append(Node(np.bitwise_or.reduce(self.maps[a:b], axis=0), self.sizes[a], self.sizes[b - 1], spare[a:b].max(), own[0] if (own == own[0]).all() else None, None, (a, b)))
+            level.append(Node(np.bitwise_or.reduce(self.maps[a:b], axis=0), self.sizes[a], self.sizes[b - 1], spare[a:b].max(), None, (a, b)))
         while len(level) > 1:
             level = [self.above(level[i : i + FANOUT]) for i in range(0, len(level), FANOUT)]
         self.root = level[0]
 
     @staticmethod
     def above(kids: list[Node]) -> Node:
-        labels = {k.label for k in kids}
-        return Node(np.bitwise_or.reduce([k.bits for k in kids], axis=0), min(k.low for k in kids), max(k.high for k in kids), max(k.spare for k in kids), labels.pop() if len(labels) == 1 else None, kids, None)
+        return Node(np.bitwise_or.reduce([k.bits for k in kids], axis=0), min(k.low for k in kids), max(k.high for k in kids), max(k.spare for k in kids), kids, None)
 
 
 def possible(a: Node, b: Node, num: int, den: int) -> bool:
     """Whether a member of a and a member of b can overlap enough.  Common tokens set common bits, and no more tokens than `spare`
     share a bit with another token of their set."""
-    if a.label is not None and a.label == b.label:
-        return False
     if num * b.low > den * a.high or num * a.low > den * b.high:
         return False
     most = min(int(np.bitwise_count(a.bits & b.bits).sum()) + min(int(a.spare), int(b.spare)), int(a.high), int(b.high))
@@ -91,7 +66,6 @@ def candidates(x: Tree, y: Tree, num: int, den: int) -> Iterator[tuple[np.ndarra
         apart = np.bitwise_count(x.maps[p][:, None, :] ^ y.maps[q][None, :, :]).sum(axis=2, dtype=np.int64)
         sizes = x.sizes[p][:, None] + y.sizes[q][None, :]
         fits = apart * (den + num) <= (den - num) * sizes
-        fits &= x.labels[p][:, None] != y.labels[q][None, :]
         fits &= np.abs(x.sizes[p][:, None] - y.sizes[q][None, :]) * (den + num) <= (den - num) * sizes
         if x is y and a is b:
             fits = np.triu(fits, 1)
@@ -100,7 +74,7 @@ def candidates(x: Tree, y: Tree, num: int, den: int) -> Iterator[tuple[np.ndarra
             yield x.members[p][i], y.members[q][j]
 
 
-def group_candidates(maps: list[bytes], sizes: np.ndarray, labels: np.ndarray, sides: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def group_candidates(maps: list[bytes], sizes: np.ndarray, sides: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The candidate pairs of one group.  Members with a bitmap twice as wide are folded to meet those next below them in size.
     If there are two sides, only pairs across them count."""
     words = np.array([len(m) // 8 for m in maps])
@@ -112,7 +86,7 @@ def group_candidates(maps: list[bytes], sizes: np.ndarray, labels: np.ndarray, s
             at = np.nonzero((own | wider) & (sides == side))[0]
             if len(at):
                 stacked = np.stack([fold(np.frombuffer(maps[i], np.uint64)[None, :], w)[0] for i in at])
-                trees.append((side, Tree(stacked, sizes[at], labels[at], at)))
+                trees.append((side, Tree(stacked, sizes[at], at)))
         if len(np.unique(sides)) == 1:
             yield from candidates(trees[0][1], trees[0][1], num, den)
         elif len(trees) == 2:

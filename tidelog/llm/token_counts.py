@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import table
+from tidelog.llm.common import small_batches, table
 
 #: Unicode White_Space, as the library's pattern engine has it.  Python's own \s also takes U+001C to U+001F.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -106,6 +106,7 @@ def counter(path: str) -> WholeTokenCounter:
 
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row of df, without a shuffle."""
+    small_batches(df.sparkSession)
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +114,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             ids, sizes, texts = batch.columns
             yield pa.RecordBatch.from_arrays([ids, sizes, pa.array([own.count(x.as_py()) for x in texts], pa.int64())], names=schema.names)
+        own.cache.clear()  # the worker is used again for other stages
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     given = df.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("t"))
