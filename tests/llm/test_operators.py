@@ -349,6 +349,18 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, []), path).count() == 0
 
 
+def test_texts_with_more_chunks_than_the_cache(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), packing.ChunkEncoder(path)
+    monkeypatch.setattr(packing, "CACHE", 4)
+    for text in ("n1 n2 n3", " ".join(f"n{i}" for i in range(20)), "n1 漢字 n2 n1 n30", " ".join(f"n{i}" for i in range(9, 0, -1))):
+        packed = own.encode(text)
+        assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == library.encode(text, add_special_tokens=False).ids
+        assert len(own.cache) <= 4 and len(own.words) <= 4
+
+
 # --- 1 ---
 
 

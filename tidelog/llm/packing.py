@@ -26,6 +26,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from operator import itemgetter
 
 import numpy as np
@@ -73,12 +74,14 @@ class ChunkEncoder:
     def chunks(self, text: str) -> list[str]:
         return [x for x in WHITE.split(text) if x] if SEPARATORS.search(text) else text.split()
 
-    def learn(self, missing: list[str]) -> None:
-        if len(self.cache) + len(missing) > CACHE:
+    def learn(self, missing: list[str]) -> dict[str, bytes]:
+        """The ids of the chunks; the cache takes as many of them as it may hold."""
+        simple, whole, special = self.simple, self.whole, self.special.search
+        new = {x: simple(x) if (x.isascii() or max(x) < "\u0100") and ("<" not in x or not special(x)) else whole(x) for x in missing}
+        if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
-        cache, simple, whole, special = self.cache, self.simple, self.whole, self.special.search
-        for chunk in missing:
-            cache[chunk] = simple(chunk) if (chunk.isascii() or max(chunk) < "\u0100") and ("<" not in chunk or not special(chunk)) else whole(chunk)
+        self.cache.update(islice(new.items(), CACHE))
+        return new
 
     def forget(self) -> None:
         """Empties the caches at the end of a task: Python workers are used again, and their memory adds up with later stages'."""
@@ -115,11 +118,9 @@ class ChunkEncoder:
         try:
             return b"".join([self.cache[x] for x in chunks])
         except KeyError:
-            own = dict.fromkeys(chunks)
-            self.learn([x for x in own if x not in self.cache])
-            if not all(x in self.cache for x in own):  # the cache was emptied meanwhile
-                self.learn([x for x in own if x not in self.cache])
-            return b"".join([self.cache[x] for x in chunks])
+            own = {x: self.cache.get(x) for x in chunks}  # a text may hold more chunks than the cache
+            own |= self.learn([x for x, packed in own.items() if packed is None])
+            return b"".join([own[x] for x in chunks])
 
 
 @lru_cache(maxsize=4)
