@@ -279,6 +279,24 @@ def test_jaccard_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4, 5] and "component_id" in kept.columns
 
 
+def test_keep_first_under_repeated_and_null_ids(spark):
+    near, unique = [" ".join(f"w{i}" for i in range(n)) for n in (40, 41)], "a text that no other one is near to"
+    rows = [(3, near[0]), (7, near[1]), (7, unique), (7, "yet another text under that same id"), (5, "copies that share one id here"), (5, "copies that share one id here"),
+            (None, "copies without any id at all"), (None, "Copies without any id at all"), (None, "one more alone"), (8, near[0].upper()), (None, near[1]), (4, ""), (4, ""), (None, None)]
+    kept = jaccard_join.keep_first(docs(spark, rows).withColumn("row", F.lit("clash")))
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, (r["text"] or "").lower()) for r in kept.collect())
+    want = [(3, near[0]), (4, ""), (4, ""), (5, rows[4][1]), (7, unique), (7, rows[3][1]), (None, ""), (None, rows[6][1]), (None, "one more alone")]
+    assert got == sorted((i is None, i or 0, t) for i, t in want) and "row" in kept.columns
+
+
+def test_sets_are_fetched_by_id_and_text(spark):
+    table = docs(spark, [(1, f"own words of text number{i} under one id") for i in range(20)])
+    described = jaccard_join.describe(table, "doc_id", "text", 3).filter("n IS NOT NULL")
+    wanted = described.select("key", F.col("id").alias("first"), F.col("text_hash").alias("first_hash"))
+    chosen = jaccard_join.sets_of(table, "doc_id", "text", 3, wanted)
+    assert chosen.count() == chosen.distinct().count() == 20
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "u long, v long")
     got = {r["node"]: r["label"] for r in components.components(links).collect()}

@@ -48,15 +48,15 @@ def _slots(words: np.ndarray) -> np.ndarray:
 
 
 def describe(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, n, key, bits) for every row, and rows with a null n that hold a task's word counters in bits."""
+    """(id, text_hash, n, key, bits) for every row, and rows with a null n that hold a task's word counters in bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = Shingler(k), np.zeros(SLOTS, np.int64)
-        names, id_type = ["id", "n", "key", "bits"], None
+        names, id_type = ["id", "text_hash", "n", "key", "bits"], None
         for batch in batches:
             id_type, sizes, keys, maps, every = batch.column(0).type, [], [], [], []
             held = 0
-            for text in batch.column(1):
+            for text in batch.column(2):
                 words = shingler.words(text.as_py())
                 every.append(_slots(words))
                 held += len(words)
@@ -69,14 +69,15 @@ def describe(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 maps.append(bitmap(tokens).tobytes() if len(tokens) else None)
             if every:
                 counts += np.bincount(np.concatenate(every), minlength=SLOTS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(maps, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(maps, pa.binary())], names=names)
         if id_type is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=names)
         del shingler, counts
         give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, n bigint, key binary, bits binary")
+    text = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("t")).mapInArrow(run, f"id {kind}, text_hash bigint, n bigint, key binary, bits binary")
 
 
 def word_counters(described: DataFrame) -> np.ndarray:
@@ -226,17 +227,17 @@ def links_of(members: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def sets_of(df: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame) -> DataFrame:
-    """(key, tokens) of the wanted classes (key, first), from the documents with those ids."""
+    """(key, tokens) of the wanted classes (key, first, first_hash), from the documents with those ids and text hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         for batch in batches:
             found = [(k.as_py(), np.unique(shingler.grams(shingler.words(t.as_py())))) for k, t in zip(*batch.columns, strict=True)]
-            found = [(k, s.tobytes()) for k, s in found if digest(s) == k]  # one id may stand on several texts
+            found = [(k, s.tobytes()) for k, s in found if digest(s) == k]  # texts under one id may share a hash
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([s for _, s in found], pa.binary())], names=["key", "tokens"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    chosen = rows.join(wanted, rows["id"].eqNullSafe(wanted["first"])).select("key", "t")
+    chosen = rows.join(wanted, rows["id"].eqNullSafe(wanted["first"]) & (F.xxhash64(rows["t"]) == wanted["first_hash"])).select("key", "t")
     return chosen.mapInArrow(run, "key binary, tokens binary")
 
 
@@ -247,11 +248,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = described.filter("n IS NOT NULL")
     counts = word_counters(described)
     members = materialize(blocks_of(prefixes(df, text_col, k, num, den, counts), num, den), "members")
-    heads = materialize(docs.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "heads")
+    heads = materialize(docs.filter("key IS NOT NULL").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits")).select("key", "first.id", "first.text_hash", "n", "bits"), "heads")
     grouped = materialize(dealt(members).join(heads.select("key", "n", "bits"), "key"), "grouped")
 
     partners = materialize(with_partners(grouped, num, den), "partners")
-    wanted = partners.select("key").distinct().join(heads.select("key", F.col("id").alias("first")), "key")
+    wanted = partners.select("key").distinct().join(heads.select("key", F.col("id").alias("first"), F.col("text_hash").alias("first_hash")), "key")
     sets = sets_of(df, id_col, text_col, k, wanted).dropDuplicates(["key"])
     links = materialize(links_of(partners.join(sets, "key"), num, den), "links")
     labels = components(links)
@@ -265,11 +266,18 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """df with one row of each component: the one with the least id.  All columns stay.  Repeated rows under that id, and rows
-    with a null id, which no component can be named by, stay too."""
-    found = jaccard_components(df, id_col, text_col, k, num, den)
-    rest = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return df.join(rest, id_col, "left_anti")
+    """df with one row of each component: the one with the least id, a null id last, then by its text's hash and its place.  Rows are
+    told apart by number, so repeated rows are reduced to one, and a text stays whatever other texts stand under its id.  Rows
+    without words are components of their own.  All columns stay."""
+    row = "row"
+    while row in df.columns:
+        row += "_"
+    numbered = materialize(df.withColumn(row, F.monotonically_increasing_id()), "numbered")  # written, so that numbers hold
+    found = jaccard_components(numbered, row, text_col, k, num, den).select(F.col(row).alias("own"), F.col("component_id").alias("component"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "own").alias("place")
+    places = numbered.select(F.col(row).alias("own"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
+    first = found.join(places, "own").groupBy("component").agg(F.min(order).alias("place")).select(F.col("place.own").alias("first"))
+    return numbered.join(first, numbered[row] == first["first"], "left_semi").drop(row)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
