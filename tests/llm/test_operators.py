@@ -214,6 +214,16 @@ def test_disguised_pii():
         assert pii.find_all(clean) == ([], [])
 
 
+def test_spelled_runs_of_any_length():
+    for want in ("+1 415 555 two six seven one", "+44 7700 900 double one triple two", "+1 415 555 26 seven one", "192 dot 168 dot 0 dot 1", "+1 415 555 267 seven", "four two 42 4242 4242 4242 four two", "+1-415-555-two-six-seven-one"):
+        for text in (f"call {want}.", want, f"({want})", f"see {want}; then"):
+            plain, added = pii.find_all(text)
+            assert [text[a:b] for a, b, _ in added] == [want], (text, plain, added)
+            assert plain == brute_pii(text)
+    for text in ("call +44 7700 900123 one more time", "+33 1 23 45 67 89, une fois", "at 10.0.0.1 one two", "one 10.0.0.1, two", "one 2,000 and 3 point 5 or 20 dot 7", "double dot, triple", "john dot smith one dot two"):
+        assert pii.find_all(text) == (brute_pii(text), []), text
+
+
 def test_pii_frames(spark):
     texts = [*EDGES, (9, "x@y.zz and x@y.zz, 10.0.0.1 +1 (555) 555-0100")]
     got = pii.find_pii(docs(spark, texts)).collect()

@@ -4,8 +4,9 @@ Plain identifiers are found in the source text itself.  A second pass runs over
 makes, each of which keeps for every output character the source span it stands for:
 
 1. characters: homoglyphs, full-width forms and foreign digits become ASCII, invisible characters vanish;
-2. spelled digits: a run of at least `MIN_SPELLED` spelled digits ("four nine double one", also German, French, Spanish), with
-   "plus", "dot" and "point" among them, becomes the digits;
+2. spelled digits: in every run of number words ("four nine double one", also German, French, Spanish), "plus", "dot", "point",
+   "dash" and digits, words become what they stand for and close up; whether that is an identifier is for the patterns to say.
+   A lone "one" or "un" (`ARTICLES`) right behind a plain identifier stays prose;
 3. disguises: "[at]", "(dot)", "_at_" and their like become "@" and "."; bare " at " and " dot " only inside one whole
    `name at host dot domain`, or a capital AT before a whole host, so that prose with the word "at" stays prose.
 
@@ -94,12 +95,14 @@ NUMBERS = {
 SPELLED = {w: d for d, words in NUMBERS.items() for w in words.split()} | {"oh": "0"}
 REPEATS = {"double": 2, "triple": 3}
 MARKS = {"plus": "+", "dot": ".", "point": ".", "dash": "-"}
-MIN_SPELLED = 4
-_ONE = "|".join(sorted((*SPELLED, *MARKS, *REPEATS), key=len, reverse=True))
-SPELLED_RUN = re.compile(rf"(?<!\w)(?:{_ONE}|[0-9])(?:[ ,-]{{1,2}}(?:{_ONE}|[0-9]))+(?!\w)", re.I)
-SPELLED_WORD = re.compile(rf"(?:{_ONE}|[0-9])", re.I)
-#: Words that no run of MIN_SPELLED can do without, as they stand after a split at white space, commas and hyphens.
-TRIGGERS = frozenset(SPELLED)
+#: Number words that are articles or pronouns too.
+ARTICLES = frozenset("one un une uno".split())
+_WORDS = "|".join(sorted((*SPELLED, *MARKS, *REPEATS), key=len, reverse=True))
+_TOKEN = rf"(?:(?:{_WORDS})(?!\w)|[0-9]++(?![\w]|\.[0-9]))"
+SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:{_WORDS})(?!\w)|(?<![0-9]\.)[0-9]++(?![\w]|\.[0-9]))(?:[ ,-]{{1,2}}{_TOKEN})++", re.I)
+RUN_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+", re.I)
+#: A word without which no run has anything to undo.
+TRIGGER = re.compile(rf"(?<!\w)(?:{_WORDS})(?!\w)", re.I)
 BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot|point|punkt)\s*[\])}>]\s*|(?<=[^\W_])[_*~]+(at|dot)[_*~]+(?=[^\W_])", re.I)
 #: Host names never begin with these words; prose does ("at the dot com").
 BARE = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]+)( +at +)(?!(?:the|a|an|this|that|my|our|your|his|her|their|its|every|each) )([A-Za-z0-9-]+(?:(?: +dot +|\.)[A-Za-z0-9-]+)* +dot +[A-Za-z]{2,})(?!\w)", re.I)
@@ -164,19 +167,39 @@ def odd_characters(text: str) -> list[tuple[int, int, str]]:
 
 
 def spelled_digits(text: str) -> list[tuple[int, int, str]]:
-    edits = []
+    edits, plain = [], None
     for m in SPELLED_RUN.finditer(text):
-        out, spelled, times = [], 0, 1
-        for w in SPELLED_WORD.finditer(m[0]):
-            word = w[0].lower()
-            if word in REPEATS:
-                times = REPEATS[word]
-                continue
-            out.append(SPELLED.get(word, MARKS.get(word, word)) * times)
-            spelled += word in SPELLED
-            times = 1
-        if spelled >= MIN_SPELLED:
-            edits.append((m.start(), m.end(), "".join(out)))
+        found = [(m.start() + t.start(), m.start() + t.end(), t[0].lower()) for t in RUN_TOKEN.finditer(m[0])]
+        if all(w.isdecimal() for _, _, w in found):
+            continue
+        parts, k = [], 0  # (start, end, what it stands for or None where the source stays)
+        while k < len(found):
+            a, b, word = found[k]
+            if word in REPEATS and k + 1 < len(found) and len(digit := SPELLED.get(found[k + 1][2], found[k + 1][2])) == 1 and digit.isdecimal():
+                parts.append((a, found[k + 1][1], digit * REPEATS[word]))
+                k += 1
+            elif word.isdecimal():
+                parts.append((a, b, None))
+            else:
+                parts.append((a, b, SPELLED.get(word, MARKS.get(word, ""))))
+            k += 1
+        while parts and parts[-1][2] in ("+", ".", "-", ""):  # a mark ends no identifier
+            parts.pop()
+        while parts and parts[0][2] in (".", "-", ""):
+            parts.pop(0)
+        if len(parts) > 1 and parts[-2][2] is None and text[parts[-1][0] : parts[-1][1]].lower() in ARTICLES:
+            plain = {b for _, b, _ in find_plain(text)} if plain is None else plain
+            if parts[-2][1] in plain:
+                parts.pop()
+        if len(parts) < 2:
+            continue
+        for x, y in zip([None, *parts], parts, strict=False):
+            if x is not None and "" not in (x[2], y[2]):
+                # numbers in digits keep what stands between them, unless they are single digits
+                if not (x[2] is None and y[2] is None and max(x[1] - x[0], y[1] - y[0]) > 1):
+                    edits.append((x[1], y[0], ""))
+            if y[2]:
+                edits.append(y)
     return edits
 
 
@@ -195,10 +218,9 @@ def normalise(text: str) -> Mapped | None:
     out = Mapped(text)
     if not text.isascii():
         out.rewrite(odd_characters(text))
-    lowered = out.text.lower()
-    if sum(w in TRIGGERS for w in lowered.replace("-", " ").replace(",", " ").split()) >= MIN_SPELLED:
+    if TRIGGER.search(out.text):
         out.rewrite(spelled_digits(out.text))
-        lowered = out.text.lower()
+    lowered = out.text.lower()
     if "dot" in lowered or " AT " in out.text or BRACKETED.search(out.text):
         out.rewrite(disguises(out.text))
     return out if out.starts is not None else None
