@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import struct
+import time
 import zlib
 
 import pytest
@@ -224,6 +226,25 @@ def test_spelled_runs_of_any_length():
         assert pii.find_all(text) == (brute_pii(text), []), text
 
 
+def test_every_mix_of_at_and_dot():
+    ats, dots = ("@", " [at] ", "(at)", "_at_", " at ", " AT "), (".", " (dot) ", "[dot]", "_dot_", " dot ", " DOT ")
+    for at in ats:
+        for one, two, three in itertools.product(dots, repeat=3):
+            want = f"john{one}smith{at}mail{two}example{three}com"
+            if at == " at " and one == two == three == "." or at == "@" and one == two == three == ".":
+                continue  # prose, and a plain address
+            for text in (f"to {want} now", want, f"write: {want}, please"):
+                plain, added = pii.find_all(text)
+                assert [(text[a:b], k) for a, b, k in added or plain] == [(want, "email")], (text, plain, added)
+                assert plain == brute_pii(text) and pii.mask(text, plain + added) == text.replace(want, "[EMAIL]")
+    for text in ("look at mail.example.com", "bob@example.com dot the i", "the dot at example.com", "we stood at a dot and left", "x\ufdd0example\ufdd1com", "dot dot dot at dot", "@ at dot", " at dot dot"):
+        assert pii.find_all(text) == (brute_pii(text), []), text
+    for text in ("a dot " * 30_000, " at a dot" * 30_000, "at " * 50_000, "a_dot_" * 30_000, "@a.1" * 30_000, "one two " * 30_000, "1 " * 60_000, " " * 100_000 + "dot at"):
+        began = time.perf_counter()
+        pii.find_all(text)
+        assert time.perf_counter() - began < 5, text[:20]
+
+
 def test_pii_frames(spark):
     texts = [*EDGES, (9, "x@y.zz and x@y.zz, 10.0.0.1 +1 (555) 555-0100")]
     got = pii.find_pii(docs(spark, texts)).collect()

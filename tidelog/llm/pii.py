@@ -8,7 +8,8 @@ makes, each of which keeps for every output character the source span it stands
    "dash" and digits, words become what they stand for and close up; whether that is an identifier is for the patterns to say.
    A lone "one" or "un" (`ARTICLES`) right behind a plain identifier stays prose;
 3. disguises: "[at]", "(dot)", "_at_" and their like become "@" and "."; bare " at " and " dot " only inside one whole
-   `name at host dot domain`, or a capital AT before a whole host, so that prose with the word "at" stays prose.
+   `name at host dot domain`, each part of which may be plain, bracketed or bare.  A bare "at" needs a disguised dot beside it,
+   or capitals (AT) before a whole host, so that prose with the word "at" stays prose.
 
 Identifiers of the normalised text are mapped back to source characters; those that overlap no plain span, or hold one of
 their kind and more, are added.
@@ -103,18 +104,22 @@ SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:{_WORDS})(?!\w)|(?<![0-9]\.)[0-9]++(?![
 RUN_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+", re.I)
 #: A word without which no run has anything to undo.
 TRIGGER = re.compile(rf"(?<!\w)(?:{_WORDS})(?!\w)", re.I)
-BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot|point|punkt)\s*[\])}>]\s*|(?<=[^\W_])[_*~]+(at|dot)[_*~]+(?=[^\W_])", re.I)
-#: Host names never begin with these words; prose does ("at the dot com").
-BARE = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]+)( +at +)(?!(?:the|a|an|this|that|my|our|your|his|her|their|its|every|each) )([A-Za-z0-9-]+(?:(?: +dot +|\.)[A-Za-z0-9-]+)* +dot +[A-Za-z]{2,})(?!\w)", re.I)
+BRACKETED = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s*(at|dot|point|punkt)\s*[\])}>]\s*|(?<=[^\W_])[_*~]+(at|dot)[_*~]+(?=[^\W_])", re.I)
+#: Stand for bracketed signs until the bare ones are judged; no text holds them, as `one_char` replaces these non-characters.
+AT, DOT = "\ufdd0", "\ufdd1"
+ANY_AT = re.compile(rf"(?<! ) ++at(?= )|{AT}|@", re.I)
+#: Host names never begin with these words; prose does ("at the dot com").  Labels and names beside a bare dot are none of `ARTICLE`.
+ARTICLE = "the|a|an|this|that|each|every"
+HOST = re.compile(rf" *+(?!(?:{ARTICLE}|my|our|your|his|her|their|its) )([A-Za-z0-9-]++(?:(?: +dot +(?!(?:{ARTICLE})\b)|[.{DOT}])[A-Za-z0-9-]+)*(?: +dot +(?!(?:{ARTICLE})\b)|[.{DOT}])[A-Za-z]{{2,}})(?!\w)", re.I)
 BARE_DOT = re.compile(r" +dot +", re.I)
-#: A capital AT after a name that is not in capitals, before a whole host.
-CAPITAL = re.compile(r"(?<![\w.%+-])(?=[A-Z]*[a-z0-9])([A-Za-z0-9._%+-]+)( +AT +)([A-Za-z0-9-]+(?:(?: +DOT +|\.)[A-Za-z0-9-]+)*(?: +DOT +|\.)[A-Za-z]{2,})(?!\w)")
 
 
 def one_char(c: str) -> str:
     """What a character stands for: itself, an ASCII character, or nothing."""
     if c in INVISIBLE:
         return ""
+    if c in (AT, DOT):
+        return "\ufffd"
     if c in LOOKALIKE:
         return LOOKALIKE[c]
     if c in SIGNS:
@@ -203,13 +208,54 @@ def spelled_digits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def bracketed(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), AT if (m[1] or m[2]).lower() == "at" else DOT) for m in BRACKETED.finditer(text)]
+
+
+def local_part(text: str, least: int, at: int) -> tuple[int, list[tuple[int, int]]]:
+    """Where the name before `at` begins, not before `least`, and the bare dots in it."""
+    dots, start = [], at
+    while True:
+        while start > least and (text[start - 1] in LOCAL or text[start - 1] == DOT):
+            start -= 1
+        end = start
+        while end > least and text[end - 1] == " ":
+            end -= 1
+        first = end - 3
+        while first > least and text[first - 1] == " ":
+            first -= 1
+        if not (start < at and end < start and first >= least and first < end - 3 and text[end - 3 : end].lower() == "dot"):
+            break
+        before = first
+        while before > least and (text[before - 1] in LOCAL or text[before - 1] == DOT):
+            before -= 1
+        if before == first or re.fullmatch(ARTICLE, text[before:first], re.I):
+            break
+        dots.append((first, start))
+        start = before
+    return start, dots[::-1]
+
+
 def disguises(text: str) -> list[tuple[int, int, str]]:
-    edits = [(m.start(), m.end(), "@" if (m[1] or m[2]).lower() == "at" else ".") for m in BRACKETED.finditer(text)]
-    for m in (*BARE.finditer(text), *(CAPITAL.finditer(text) if " AT " in text else ())):
-        taken = [(a, b) for a, b, _ in edits]
-        own = [(m.start(2), m.end(2), "@")] + [(m.start(3) + d.start(), m.start(3) + d.end(), ".") for d in BARE_DOT.finditer(m[3])]
-        if not any(a < e and s < b for s, e, _ in own for a, b in taken):
-            edits += own
+    """The signs of bracketed ones, and of bare ones inside a whole address."""
+    edits, last = [(m.start(), m.end(), "@" if m[0] == AT else ".") for m in re.finditer(f"[{AT}{DOT}]", text)], 0
+    for m in ANY_AT.finditer(text):
+        at, host = m.start(), HOST.match(text, m.end())
+        if at < last or not host:
+            continue
+        start, dots = local_part(text, last, at)
+        name, bare = text[start:at], m[0][0] == " "
+        if start == at:
+            continue
+        if bare:
+            capital = m[0].endswith("AT") and re.match("[A-Z]*[a-z0-9]", name)
+            if start and (text[start - 1].isalnum() or text[start - 1] == "_") or not (capital or dots or DOT in name or DOT in host[1] or BARE_DOT.search(host[1])):
+                continue
+            edits.append((at, host.start(1), "@"))
+        elif host.start(1) > m.end():
+            continue
+        edits += [(a, b, ".") for a, b in dots] + [(host.start(1) + d.start(), host.start(1) + d.end(), ".") for d in BARE_DOT.finditer(host[1])]
+        last = host.end()
     return sorted(edits)
 
 
@@ -220,8 +266,9 @@ def normalise(text: str) -> Mapped | None:
         out.rewrite(odd_characters(text))
     if TRIGGER.search(out.text):
         out.rewrite(spelled_digits(out.text))
+    out.rewrite(bracketed(out.text))
     lowered = out.text.lower()
-    if "dot" in lowered or " AT " in out.text or BRACKETED.search(out.text):
+    if "dot" in lowered or " AT " in out.text or AT in lowered or DOT in lowered:
         out.rewrite(disguises(out.text))
     return out if out.starts is not None else None
 
