@@ -145,3 +145,67 @@ def test_greedy_groups(spark):
         want[(s, i)] = no
     df = spark.createDataFrame(rows, "s string, i long, n long").repartition(3)
     assert {(r["s"], r["i"]): r["group_no"] for r in lookup.greedy_groups(df, "s", "i", "n", 100).collect()} == want
+
+
+def test_find_block_grows_in_proportion(spark):
+    import time
+
+    from tidelog.operators import lookup
+
+    def took(n: int) -> float:
+        probes = spark.range(n).selectExpr("lpad(cast(id as string), 9, '0') key")
+        index = spark.range(0, n, 10).selectExpr("lpad(cast(id as string), 9, '0') last_key")
+        began = time.perf_counter()
+        got = lookup.find_block(probes, index).selectExpr("count(*) n", "sum(if(last_key is null, 0, cast(last_key as long) - cast(key as long))) far", "count(if(last_key is null, 1, null)) none").first()
+        assert got["n"] == n and got["none"] == 9 and got["far"] == 45 * (n // 10 - 1)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(80_000) < 5 * took(20_000) + 2
+
+
+def test_find_block_with_a_hot_probe(spark):
+    from tidelog.operators import lookup
+
+    probes = spark.createDataFrame([("m",)] * 4000 + [("z",), ("a",), ("n",)], "key string")
+    index = spark.createDataFrame([("m",), ("c",), ("p",)], "last_key string")
+    got = {(r["key"], r["last_key"]): r["count"] for r in lookup.find_block(probes, index).groupBy("key", "last_key").count().collect()}
+    assert got == {("m", "m"): 4000, ("z", None): 1, ("a", "c"): 1, ("n", "p"): 1}
+
+
+def test_multi_get_with_more_probes_than_are_broadcast(spark, monkeypatch):
+    from tidelog.operators import state
+
+    log = spark.createDataFrame([(f"k{i % 50}", i, 0, 1 + (i % 7 == 0), str(i)) for i in range(500)], "key string, seq long, ord int, kind int, value string")
+    probes = spark.createDataFrame([(f"k{i}",) for i in range(40, 60)] * 2, "key string")
+    few = sorted(map(tuple, state.multi_get(probes, log).collect()), key=str)
+    absent = sorted(map(tuple, state.absent(probes, log).collect()))
+    monkeypatch.setattr(state, "PROBES", 3)
+    assert sorted(map(tuple, state.multi_get(probes, log).collect()), key=str) == few and len(few) == 40
+    assert sorted(map(tuple, state.absent(probes, log).collect())) == absent
+
+
+def test_conflicts_equal_all_pairs(spark):
+    import random
+
+    from tidelog.operators import transactions
+
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), s := rng.randint(0, 300), s + rng.choice([1, 2, 3, 9, 64, 65, 1000])) for _ in range(300)] + [("a", 5, 5), ("a", None, 7), ("b", 3, None)]
+    got = transactions.write_conflicts(spark.createDataFrame(rows, "key string, start long, commit long")).collect()
+    full = [r for r in rows if None not in r]
+    want = [(k, w, c) for k, s, c in full for j, _, w in rows if j == k and w is not None and s < w < c]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert transactions.write_conflicts(spark.createDataFrame([], "key string, start long, commit long")).count() == 0
+
+
+def test_tables_are_discarded(spark):
+    import pytest
+
+    from tidelog.sources import shared
+
+    df = shared.materialize(spark.range(5), "gone")
+    assert df.count() == 5
+    shared.discard(df)
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        spark.read.parquet(df._written_at).count()

