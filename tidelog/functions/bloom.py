@@ -61,6 +61,17 @@ def positions_column(key: Column, m: int, k: int, seed: int = SEED, digest: bool
     return of(key.cast("binary"))
 
 
+def mixed_column(key: Column, seed: int = SEED) -> Column:
+    """The mixed seeded hash of each key, as the bits of a long."""
+
+    @F.pandas_udf(T.LongType())
+    def of(keys: pd.Series) -> pd.Series:
+        with np.errstate(over="ignore"):
+            return pd.Series(mix64(np.array([fnv64(bytes(x), seed) for x in keys], np.uint64)).view(np.int64))
+
+    return of(key.cast("binary"))
+
+
 def build(keys: DataFrame, n: int, p: float = 0.01, seed: int = SEED) -> DataFrame:
     """(bit): the distinct set bits for a DataFrame with a column key; n is the number of keys to size for."""
     m, k = size(n, p)

@@ -10,10 +10,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelog.database import Database
 from tidelog.functions import bloom, codec
-from tidelog.operators import compaction, lookup, state, transactions
+from tidelog.model import DELETE, PUT, Options
+from tidelog.operators import compaction, lookup, sorted_tables, state, transactions
 from tidelog.sources import logs, runs, wal
-from tidelog.sources.shared import shared_dir
+from tidelog.sources.shared import materialize, shared_dir
 from tidelog.streaming import live
 
 E_SQL = """SELECT cast(user_id AS VARCHAR) AS key, event_id + 1 AS seq, 0 AS ord, CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS kind,
@@ -251,16 +253,192 @@ def kv_bloom_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n", m.alias("m"), k.alias("k"))
 
 
-@query()
+_TWO64, _SEED = "18446744073709551616::UHUGEINT", f"{bloom.SEED}::UHUGEINT"
+
+
+def _fnv_sql(data: str, seed: str) -> str:
+    """FNV-1a of a list of bytes, from the offset basis under a seed."""
+    return f"list_reduce([xor(14695981039346656037::UHUGEINT, {seed})] || {data}, lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % {_TWO64})"
+
+
+def _mix_sql(name: str, source: str, of: str) -> str:
+    """CTEs that mix the column `of` of `source` into a column `mixed`."""
+    shift = lambda x: f"xor({x}, {x} // 8589934592::UHUGEINT)"
+    return f"""{name}1 AS (SELECT *, {shift(of)} AS m1 FROM {source}), {name}2 AS (SELECT *, (m1 * 18397679294719823053::UHUGEINT) % {_TWO64} AS m2 FROM {name}1),
+{name}3 AS (SELECT *, ({shift("m2")} * 14181476777654086739::UHUGEINT) % {_TWO64} AS m3 FROM {name}2), {name} AS (SELECT * EXCLUDE (m1, m2, m3), {shift("m3")} AS mixed FROM {name}3)"""
+
+
+def _bits_sql(keys: str, n: int | str) -> str:
+    """CTEs: size (n, m, k) of n keys, and bits(key, bit) of every key in the CTE `keys`."""
+    bytes_of = "list_transform(range(1, length(key) + 1), lambda i: ascii(key[i])::UHUGEINT)"
+    little = f"list_transform(range(8), lambda i: (h // power(256, i)::UHUGEINT) % 256::UHUGEINT)"
+    return f"""size AS (SELECT n, m, least(16, greatest(1, floor(m / greatest(n, 1) * 0.6931471805599453 + 0.5)))::BIGINT AS k
+  FROM (SELECT n, greatest(64, ceil(-n * ln(0.01) / (0.6931471805599453 * 0.6931471805599453)))::BIGINT AS m FROM ({n}) c(n))),
+plain AS (SELECT key, {_fnv_sql(bytes_of, "0::UHUGEINT")} AS h FROM {keys}), seeded AS (SELECT key, {_fnv_sql(little, _SEED)} AS s FROM plain),
+{_mix_sql("first", "seeded", "s")}, again AS (SELECT key, mixed AS h1, xor(mixed, {bloom.SEED * int(bloom.GOLDEN) % (1 << 64)}::UHUGEINT) AS x FROM first),
+{_mix_sql("second", "again", "x")}, bits AS (SELECT key, (((h1 + i::UHUGEINT * mixed) % {_TWO64}) % m::UHUGEINT)::BIGINT AS bit FROM (SELECT *, unnest(range(k)) AS i FROM second, size))"""
+
+
+USERS_SQL = "users AS (SELECT DISTINCT cast(user_id AS VARCHAR) AS key FROM events)"
+N_USERS = "SELECT count(*) FROM users"
+
+
+@query(f"WITH {USERS_SQL}, {_bits_sql('users', N_USERS)} SELECT DISTINCT bit FROM bits")
+def kv_bloom_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The set bits of a filter of the event users.  A job counts the keys first, as the filter is sized by them."""
+    keys = logs.events_log(spark, sf_dir).select("key").distinct()
+    return bloom.build(keys, keys.count())
+
+
+@query(f"""WITH {USERS_SQL}, asked AS (SELECT DISTINCT cast(c_custkey AS VARCHAR) AS key FROM customer),
+every AS (SELECT key FROM users UNION SELECT key FROM asked), {_bits_sql('every', N_USERS)},
+filled AS (SELECT DISTINCT bit FROM bits JOIN users USING (key))
+SELECT key, bool_and(f.bit IS NOT NULL) AS may_contain FROM asked JOIN bits USING (key) LEFT JOIN filled f ON bits.bit = f.bit GROUP BY key""")
 def kv_bloom_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers against a filter of the event users.  False positives depend on the hashes, so no SQL; tests compare it with the
-    bit-by-bit filter."""
+    """Customers against a filter of the event users.  A job counts the keys first."""
     keys = logs.events_log(spark, sf_dir).select("key").distinct()
     n = keys.count()
     probes = logs.read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key")).distinct()
     return bloom.may_contain(probes, bloom.build(keys, n), n)
 
 
+@query(f"""WITH {USERS_SQL}, h AS (SELECT key, {_fnv_sql("list_transform(range(1, length(key) + 1), lambda i: ascii(key[i])::UHUGEINT)", "7::UHUGEINT")} AS h FROM users), {_mix_sql("m", "h", "h")}
+SELECT key, (mixed // 4294967296::UHUGEINT)::BIGINT AS hi, (mixed % 4294967296::UHUGEINT)::BIGINT AS lo FROM m""")
+def kv_seeded_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter's own hash: FNV-1a under a seed (7 here), then the 64-bit mixer."""
+    keys = logs.events_log(spark, sf_dir).select("key").distinct()
+    mixed = bloom.mixed_column(F.col("key"), 7)
+    return keys.select("key", F.call_function("shiftrightunsigned", mixed, F.lit(32)).alias("hi"), mixed.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("lo"))
+
+
+def text_rows(df: DataFrame, columns: tuple[str, ...] = ("key", "value")) -> DataFrame:
+    return df.select(*[F.col(c).cast("string").alias(c) if c in ("key", "value") else F.col(c) for c in columns])
+
+
+LIVE_ROWS = f"{WITH_E}, live AS (SELECT key, value FROM ranked WHERE rn = 1 AND kind = 1)"
+
+
+@query(f"{LIVE_ROWS} SELECT key, value FROM live")
+def kv_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live state built into binary sorted tables, which are opened again and iterated block by block."""
+    return text_rows(sorted_tables.scan_tables(sorted_tables.written(state.visible(logs.events_log(spark, sf_dir)), 40)))
+
+
+@query(f"{LIVE_ROWS} SELECT key, value FROM live WHERE key >= '13' AND key < '42'")
+def kv_table_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = sorted_tables.written(state.visible(logs.events_log(spark, sf_dir)), 40)
+    return text_rows(sorted_tables.scan_tables(tables, b"13", b"42"))
+
+
+@query(f"{LIVE_ROWS} SELECT key, value FROM live WHERE key IN (SELECT cast(c_custkey AS VARCHAR) FROM customer)")
+def kv_table_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers looked up in binary sorted tables: table by last key, filter, index, block."""
+    probes = logs.read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"))
+    return text_rows(sorted_tables.get_from_tables(sorted_tables.written(state.visible(logs.events_log(spark, sf_dir)), 40), probes))
+
+
+@query(f"{LIVE_ROWS}, n AS (SELECT count(*) AS n FROM live) SELECT count(*)::BIGINT AS n_rows, min(key) AS min_key, max(key) AS max_key FROM live")
+def kv_table_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the facts of all tables add up to: every live row in one table, none twice."""
+    tables = sorted_tables.written(state.visible(logs.events_log(spark, sf_dir)), 40)
+    return tables.agg(F.sum("n_rows").cast("long").alias("n_rows"), F.min("min_key").cast("string").alias("min_key"), F.max("max_key").cast("string").alias("max_key"))
+
+
+def log_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events log as bytes of log segments of a thousand batches each."""
+    return materialize(wal.encode_segments(logs.events_log(spark, sf_dir).withColumn("segment", F.expr("(seq - 1) div 1000"))), "segments")
+
+
+@query(f"WITH v AS ({E_SQL}) SELECT key, seq, ord, kind, value FROM v")
+def kv_wal_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches to checksummed frames in segments, and back."""
+    return text_rows(wal.replay_contents(log_segments(spark, sf_dir)), ("key", "seq", "ord", "kind", "value"))
+
+
+@query(f"""WITH v AS ({E_SQL}), last AS (SELECT (seq - 1) // 1000 AS segment, max(seq) AS seq FROM v GROUP BY ALL)
+SELECT key, v.seq, kind FROM v JOIN last ON (v.seq - 1) // 1000 = segment WHERE segment % 2 = 0 OR v.seq < last.seq""")
+def kv_wal_torn_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second segment lost its last two bytes: its last frame, and only that one, is gone."""
+    torn = log_segments(spark, sf_dir).withColumn("content", F.expr("if(segment % 2 = 1, substring(content, 1, octet_length(content) - 2), content)"))
+    return text_rows(wal.replay_contents(torn), ("key", "seq", "kind"))
+
+
+@query("SELECT (event_id) // 1000 AS segment, event_id % 1000 AS place FROM events WHERE event_id % 1000 < 500")
+def kv_wal_bad_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One flipped bit in the frame of every segment's batch of place 500: it and all behind it go."""
+    events = logs.read(spark, sf_dir, "events").select(F.expr("event_id div 1000").alias("segment"), (F.col("event_id") + 1).alias("seq"))
+    rows = events.select("segment", F.lit("key").alias("key"), "seq", F.lit(0).alias("ord"), F.lit(1).alias("kind"), F.lit("12345").alias("value"))
+    length = 30 + len("key12345") - 6  # of such a frame: 22 bytes, two lengths, key and value
+    broken = wal.encode_segments(rows).withColumn("content", F.expr(f"overlay(content PLACING X'FF' FROM {500 * length + 20} FOR 1)"))
+    return wal.replay_contents(materialize(broken, "broken")).select(F.expr("(seq - 1) div 1000").alias("segment"), F.expr("(seq - 1) % 1000").alias("place"))
+
+
+def database(spark: SparkSession, name: str, options: Options = Options()) -> Database:
+    return Database.open(spark, f"{shared_dir(spark)}/tidelog/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}", options)
+
+
+@query("""SELECT n_name AS key, 'region ' || n_regionkey AS value FROM nation WHERE n_regionkey NOT IN (0, 1)
+UNION ALL SELECT n_name, 'again' FROM nation WHERE n_regionkey = 1""")
+def kv_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opened empty, written (a batch for each region's nations, then deletes and overwrites), closed, and opened again from the log
+    alone.  The embedded writer is one process by nature; the table is as small at every scale."""
+    rows = logs.read(spark, sf_dir, "nation").select("n_name", "n_regionkey").collect()
+    db = database(spark, "recovery")
+    for region in sorted({r["n_regionkey"] for r in rows}):
+        db.write((PUT, r["n_name"], f"region {region}") for r in rows if r["n_regionkey"] == region)
+    db.write((DELETE, r["n_name"], "") for r in rows if r["n_regionkey"] == 0)
+    db.write((PUT, r["n_name"], "again") for r in rows if r["n_regionkey"] == 1)
+    db.close()
+    return text_rows(Database.open(spark, db.path).scan())
+
+
+def filled(spark: SparkSession, sf_dir: str, name: str) -> Database:
+    """A database with the events log in two runs, the older half in the first."""
+    db, log = database(spark, name), logs.events_log(spark, sf_dir).withColumn("ord", F.col("seq").cast("int"))
+    for part in (log.filter("seq <= 5000"), log.filter("seq > 5000")):
+        db.append(part)
+    return db
+
+
+@query(f"WITH v AS ({E_SQL}) SELECT CASE WHEN seq <= 5000 THEN 1 ELSE 2 END::BIGINT AS run_id, min(key) AS min_key, max(key) AS max_key, count(*) AS n_rows, count(*) FILTER (kind = 2) AS n_tombstones FROM v GROUP BY ALL")
+def kv_manifest_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two bulk writes become runs; a database opened anew reads them from the manifest."""
+    found = Database.open(spark, filled(spark, sf_dir, "manifest").path).manifest_frame()
+    return found.select("run_id", F.col("min_key").cast("string").alias("min_key"), F.col("max_key").cast("string").alias("max_key"), "n_rows", "n_tombstones")
+
+
+@query(f"{LIVE_ROWS} SELECT key, value FROM live")
+def kv_run_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged reading over written runs, found through the manifest."""
+    return text_rows(filled(spark, sf_dir, "runs").scan())
+
+
+@query(f"{LIVE_ROWS} SELECT key, value FROM live WHERE key IN (SELECT cast(c_custkey AS VARCHAR) FROM customer)")
+def kv_run_multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point reads of written runs, by key range and Parquet's Bloom filters."""
+    probes = logs.read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key")).distinct()
+    return text_rows(filled(spark, sf_dir, "get").multi_get(probes).filter("value IS NOT NULL"))
+
+
+@query(f"{LIVE_ROWS} SELECT key, value FROM live")
+def kv_backup_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of a backup, opened as a database at a third place."""
+    db = filled(spark, sf_dir, "live")
+    db.backup(f"{db.path}-backup")
+    return text_rows(Database.restore(spark, f"{db.path}-backup", f"{db.path}-again").scan())
+
+
+@query(f"{WITH_E} SELECT count(*)::BIGINT AS n_rows, 0::BIGINT AS n_tombstones, 1 AS run_folders FROM ranked WHERE rn = 1 AND kind = 1")
+def kv_vacuum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left after a compaction, the expiry of old manifests and the removal of what only they named."""
+    db = filled(spark, sf_dir, "space")
+    db.compact()
+    db.expire()
+    db.vacuum()
+    left = db.info()["run_folders"]
+    return db.manifest_frame().agg(F.sum("n_rows").alias("n_rows"), F.sum("n_tombstones").alias("n_tombstones")).withColumn("run_folders", F.lit(left))
+
+
 @query(f"WITH v AS ({E_SQL}) SELECT a.key, a.seq AS winner, b.seq AS loser FROM v a JOIN v b ON a.key = b.key AND b.seq - 10 < a.seq AND a.seq < b.seq")
 def kv_si_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     writes = logs.events_log(spark, sf_dir).select("key", (F.col("seq") - 10).alias("start"), F.col("seq").alias("commit"))
