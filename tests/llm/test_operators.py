@@ -286,7 +286,7 @@ def brute_components(texts, k, num, den):
     return [(doc is None, doc or 0, len(sets[i]), least[find(i)]) for i, (doc, _) in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("k", "num", "block"), [(3, 90, 4096), (5, 80, 4096), (2, 60, 3)])
+@pytest.mark.parametrize(("k", "num", "block"), [(3, 90, 4096), (5, 80, 4096), (1, 25, 4), (3, 100, 4096)])
 def test_jaccard_components(spark, monkeypatch, k, num, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rng = random.Random(k)
@@ -328,6 +328,58 @@ def test_sets_are_fetched_by_id_and_text(spark):
     assert chosen.count() == chosen.distinct().count() == 20
 
 
+def test_blocks_that_are_cut_in_parts(spark, monkeypatch):
+    """Chains, families and strangers that share one rare token, over many parts."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rng, texts = random.Random(90), []
+    base = [f"b{i}" for i in range(40)]
+    for i in range(30):  # a family of near copies
+        own = list(base)
+        own[rng.randrange(3, 40)] = f"x{i}"
+        texts.append((i, " ".join(["rare", *own])))
+    words = [f"c{i}" for i in range(80)]
+    for i in range(25):  # a chain: each links with the next few only
+        texts.append((100 + i, " ".join(["rare", *words[i : i + 40]])))
+    texts += [(200 + i, " ".join(["rare"] + [f"s{i}-{j}" for j in range(rng.randint(3, 20))])) for i in range(20)]
+    texts += [(300 + i, f"rare pair{i // 2} and its copy number with more words {'z' * (i % 2)}") for i in range(8)]
+    key = lambda r: tuple(str(x) for x in r)
+    for k, num in ((1, 80), (1, 40)):
+        got = jaccard_join.jaccard_components(docs(spark, texts), k=k, num=num).collect()
+        assert sorted(((False, r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=key) == sorted(brute_components(texts, k, num, 100), key=key)
+
+
+def test_a_growing_family_is_dealt_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    written = []
+    keep = jaccard_join.materialize
+
+    def counting(df, name):
+        out = keep(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", counting)
+    sizes = {}
+    for n in (100, 400):
+        rng, written[:] = random.Random(n), []
+        base = [f"b{i}" for i in range(60)]
+        texts = []
+        for i in range(n):
+            own = list(base)
+            own[rng.randrange(60)] = f"x{i}"
+            texts.append((i, " ".join(own)))
+        got = jaccard_join.jaccard_components(docs(spark, texts), k=1, num=90).collect()
+        assert {r["component_id"] for r in got} == {0} and len(got) == n
+        sizes[n] = sum(rows for name, rows in written if name in ("grouped", "partners", "links", "labelled", "apart"))
+    assert sizes[400] < 5 * sizes[100], sizes
+
+
+def test_thresholds(spark):
+    for num in (0, 101):
+        with pytest.raises(ValueError, match="threshold"):
+            jaccard_join.jaccard_components(docs(spark, []), num=num)
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "u long, v long")
     got = {r["node"]: r["label"] for r in components.components(links).collect()}
@@ -354,6 +406,10 @@ def test_tree_never_drops_a_pair():
             if 100 * both >= 90 * (sizes[i] + sizes[j] - both):
                 assert (j, i) in found
     assert len(found) < len(sets) * 10
+    third = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (900, 9000)]
+    sets = third + [x[: len(x) // 3] for x in third]
+    found = {tuple(sorted(p)) for a, b in signature_tree.group_candidates([shingles.bitmap(s).tobytes() for s in sets], np.array([len(s) for s in sets]), np.zeros(4, int), 30, 100) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    assert {(0, 2), (1, 3)} <= found
 
 
 # --- 10 ---

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.sources.shared import materialize, shared_dir
+from tidelog.sources.shared import discard, materialize, shared_dir
 
-__all__ = ["ascii_lower", "give_back", "materialize", "shared_dir", "small_batches", "table"]
+__all__ = ["ascii_lower", "discard", "give_back", "materialize", "shared_dir", "small_batches", "table"]
 
 BATCH_ROWS = 1024
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import materialize
+from tidelog.llm.common import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,7 +24,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
         small = large.join(low, large["u"] == low["w"]).select("u", "v", "m")
         star = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = materialize(star, "edges")
+        passed, edges = edges, materialize(star, "edges")
+        discard(passed)
         state, before = _state(edges), state
         if state == before:
             break

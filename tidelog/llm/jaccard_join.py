@@ -1,21 +1,26 @@
 """N-gram Jaccard self-join with signature trees (operator 9).
 
-Documents are sets of word shingles; two link when their Jaccard index reaches num / den.  The result is exact (up to equal 64-bit
-hashes of different shingles in one pair of documents).
+Documents are sets of word shingles; two link when their Jaccard index reaches num / den, which is above 0.  The result is exact (up
+to equal 64-bit hashes of different shingles, or of different sets that share a shingle).
 
 1. One pass counts how often each word occurs, in `SLOTS` hashed counters over the whole corpus, and makes each
    document's set size, set digest and bitmap.  Equal sets are one class from here on.
 2. A second pass emits each class's necessary prefix: of n tokens the n - ceil(n num / den) + 1 that come first when the shingles
    are ordered by their rarest word.  Any linked pair shares a prefix token, and shared passages, whose words are frequent,
-   stand at the end.  Members of a token group without a neighbour of fitting size leave it; groups with the same least member
-   are one block.
+   stand at the end.  Members of a token group without another of fitting size leave it; groups with the same least member
+   are one block.  Token groups are only aggregated and joined, never sorted whole in a task.
 3. Signature trees work inside the blocks: nodes hold OR-combined bitmaps and size ranges, and a dual traversal drops node pairs
-   whose greatest possible overlap is too small.  Blocks over `BLOCK` members are dealt as pairs of parts to many tasks.
+   whose greatest possible overlap is too small.
 4. Members with a candidate partner fetch their full sets, and the traversal is done again on these: a candidate pair is passed
    over if verified links connect it already, else its Jaccard index is computed.  No link between components is lost, and a
    group of near copies never emits all its pairs, only links that connect it.  Components of the links come last.
+5. A block of more than `BLOCK` members is cut in parts, each of which is connected inside first.  Then one member stands for each
+   component in a block (a block of near copies is down to about one for each part by now), and these are compared by pairs of
+   parts.  What is still apart is compared in full, except within the largest component of the block, so that a block which is
+   one component costs as many rows as it has members, and only one whose members do not link costs pairs of parts.
 
-What is broadcast: the counters, `SLOTS` numbers, whatever the input.  Sets are fetched for candidate classes only.
+What is broadcast: the counters, `SLOTS` numbers, whatever the input.  Sets are fetched for candidate classes only.  Every step
+is written to the shared folder by a job while the result is being made; what later steps do not read is deleted.
 
 Defined cases: documents without words, or null text, have an empty set and link with nothing.  Repeated rows and rows sharing an
 id each give a row.  A null id takes part; a component's id is its least non-null id.  Only the id and text columns are read, so
@@ -24,6 +29,7 @@ other columns cannot clash.  Texts of any length are shingled whole.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -32,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import give_back, materialize, small_batches, table
+from tidelog.llm.common import discard, give_back, materialize, small_batches, table
 from tidelog.llm.components import components
 from tidelog.llm.shingles import Shingler, bitmap, digest
 from tidelog.llm.signature_tree import group_candidates
@@ -98,13 +104,15 @@ def word_counters(described: DataFrame) -> np.ndarray:
 
 
 def prefixes(df: DataFrame, text_col: str, k: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
-    """(token, key, n): the prefix tokens of each class, once for each task that holds it."""
+    """(token, key, own, step): the prefix tokens of each class, once for each task that holds it.  own: the first eight bytes of the
+    key, as a number that sums cheaply; step: the class's size on a scale on which linked sizes differ by 1 at most."""
+    scale = math.log(den / num) * (1 + 1e-9) if num < den else 0  # a little more, so that rounding parts no linked sizes
     levels = zlib.compress(np.floor(2 * np.log2(np.maximum(1, counts))).astype(np.int16).tobytes(), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, level, seen = Shingler(k), np.frombuffer(zlib.decompress(levels), np.int16), set()
         for batch in batches:
-            tokens_out, keys, sizes = [], [], []
+            tokens_out, keys, steps = [], [], []
             for text in batch.column(0):
                 words = shingler.words(text.as_py())
                 grams = shingler.grams(words)
@@ -126,37 +134,58 @@ def prefixes(df: DataFrame, text_col: str, k: int, num: int, den: int, counts: n
                 own = tokens[rank[: n + (-num * n // den) + 1]]
                 tokens_out.append(own.view(np.int64))
                 keys += [key] * len(own)
-                sizes += [n] * len(own)
+                steps += [int(math.log(n) / scale) if scale else n] * len(own)
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens_out)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())], names=["token", "key", "n"])
+                own = np.frombuffer(b"".join(k[:8] for k in keys), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens_out)), pa.array(keys, pa.binary()), pa.array(own), pa.array(steps, pa.int32())], names=["token", "key", "own", "step"])
         del shingler, seen
         give_back()
 
-    return df.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "token bigint, key binary, n bigint")
+    return df.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "token bigint, key binary, own bigint, step int")
 
 
-def blocks_of(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """(block, key): the members of the token groups, those without a class of fitting size beside them left out.  Groups with the
-    same least member make one block, so that near copies, which share most of their prefix, meet once and not once a token."""
-    order = Window.partitionBy("token").orderBy("n", "key")
-    near = postings.withColumn("again", F.lag("key").over(order) == F.col("key")).filter("again IS NULL OR NOT again").drop("again")
-    near = near.withColumn("below", F.lag("n").over(order)).withColumn("above", F.lead("n").over(order))
-    near = near.filter((F.col("below") * den >= F.col("n") * num) | (F.col("n") * den >= F.col("above") * num))
-    return near.withColumn("block", F.min("key").over(Window.partitionBy("token"))).select("block", "key").distinct()
+def blocks_of(postings: DataFrame) -> DataFrame:
+    """(block, key): the members of the token groups, those without another class of fitting size left out.  Groups with the same
+    least member make one block, so that near copies, which share most of their prefix, meet once and not once a token.  A token's
+    rows only meet in partial sums and in joins whose large partitions can be split; the windows run over a row for each size."""
+    shared = postings.groupBy("token").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high").select("token")
+    near = materialize(postings.join(shared, "token", "left_semi"), "near")
+    sizes = near.groupBy("token", "step").agg(F.min("own").alias("low"), F.max("own").alias("high"))
+    order = Window.partitionBy("token").orderBy("step")
+    fitting = sizes.withColumn("below", F.lag("step").over(order)).withColumn("above", F.lead("step").over(order))
+    fitting = fitting.filter("low <> high OR below >= step - 1 OR above <= step + 1")
+    fitting = fitting.select("token", "step", F.min("low").over(Window.partitionBy("token")).alias("block"))
+    return near.join(fitting, ["token", "step"]).select("block", "key").distinct()
 
 
-def dealt(members: DataFrame) -> DataFrame:
-    """(block, i, j, side, key): blocks over BLOCK members are cut in parts, and each member goes to every pair of parts with its own."""
+def parts_of(members: DataFrame) -> DataFrame:
+    """members with part and parts: blocks over BLOCK members are cut by a hash of the key."""
     large = members.groupBy("block").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts")).filter("parts > 1").withColumnRenamed("block", "big")
-    own = members.join(large, members["block"] == large["big"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j"), F.when(F.col("own") <= other, 0).otherwise(1).alias("side")))
-    return own.select("block", "key", F.explode(pairs).alias("p")).select("block", "p.i", "p.j", "p.side", "key")
+    own = members.join(large, members["block"] == large["big"], "left").drop("big").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return own.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+
+
+def dealt(members: DataFrame) -> DataFrame:
+    """(block, i, j, side, key, label): each member goes to every pair of parts of its block with its own."""
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least("part", other).alias("i"), F.greatest("part", other).alias("j"), F.when(F.col("part") <= other, 0).otherwise(1).alias("side")))
+    return parts_of(members).select("block", "key", "label", F.explode(pairs).alias("p")).select("block", "p.i", "p.j", "p.side", "key", "label")
+
+
+def dealt_across(left: DataFrame, right: DataFrame, turn: int) -> DataFrame:
+    """dealt() for the pairs of a left and a right member of a block; turn keeps several calls apart."""
+    sides = []
+    for side, (own, other) in enumerate(((left, right), (right, left))):
+        counts = other.groupBy("block").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("others"))
+        each = parts_of(own).join(counts, "block").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+        i, j = ("part", "other") if side == 0 else ("other", "part")
+        sides.append(each.select("block", (F.lit(-1 - turn) - 2 * F.col(i)).cast("int").alias("i"), F.col(j).alias("j"), F.lit(side).alias("side"), "key", "label"))
+    return sides[0].unionByName(sides[1])
 
 
 def by_group(rows: DataFrame, columns: list[str], work: Callable[[list[list]], list[tuple]], names: list[str], schema: str) -> DataFrame:
     """work() on the columns of each (block, i, j), whose rows come together; a task holds one group and one Arrow batch."""
     ordered = rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").select("block", "i", "j", *columns)
-    kinds = [pa.binary() if n in ("block", "key", "u", "v") else pa.int32() for n in names]
+    kinds = [pa.binary() if n in ("key", "label", "u", "v") else pa.int64() if n == "block" else pa.int32() for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] | None = None
@@ -187,27 +216,30 @@ def by_group(rows: DataFrame, columns: list[str], work: Callable[[list[list]], l
 
 
 def with_partners(members: DataFrame, num: int, den: int) -> DataFrame:
-    """The members (block, i, j, side, key) that have a candidate partner by the bitmaps in their signature trees."""
+    """The members (block, i, j, side, key, label) that have a candidate partner of another label by the bitmaps in their signature
+    trees."""
 
     def work(group: list[list]) -> list[tuple]:
-        blocks, i, j, sides, keys, sizes, maps = group
-        found = np.zeros(len(keys), bool)
+        blocks, i, j, sides, keys, labels, sizes, maps = group
+        found, (_, label) = np.zeros(len(keys), bool), np.unique(np.array(labels, object), return_inverse=True)
         for a, b in group_candidates(maps, np.array(sizes, np.int64), np.array(sides), num, den):
-            found[a] = found[b] = True
-        return [(blocks[0], i[0], j[0], sides[x], keys[x]) for x in np.nonzero(found)[0].tolist()]
+            apart = label[a] != label[b]
+            found[a[apart]] = found[b[apart]] = True
+        return [(blocks[0], i[0], j[0], sides[x], keys[x], labels[x]) for x in np.nonzero(found)[0].tolist()]
 
-    return by_group(members, ["side", "key", "n", "bits"], work, ["block", "i", "j", "side", "key"], "block binary, i int, j int, side int, key binary")
+    return by_group(members, ["side", "key", "label", "n", "bits"], work, ["block", "i", "j", "side", "key", "label"], "block bigint, i int, j int, side int, key binary, label binary")
 
 
 def links_of(members: DataFrame, num: int, den: int) -> DataFrame:
     """Links (u, v) that connect what links in each group: candidate pairs are verified on the full sets, those already connected
-    by verified links are passed over, and every verified link joins two parts, so a group gives fewer links than members."""
+    by verified links (equal labels) are passed over, and every verified link joins two parts, so a group gives fewer links than
+    members."""
 
     def work(group: list[list]) -> list[tuple]:
-        _, _, _, sides, keys, sets = group
+        _, _, _, sides, keys, labels, sets = group
         sets = [np.frombuffer(s, np.uint64) for s in sets]
         sizes = np.array([len(s) for s in sets], np.int64)
-        part, out = np.arange(len(keys)), []
+        (_, part), out = np.unique(np.array(labels, object), return_inverse=True), []
         for a, b in group_candidates([bitmap(s).tobytes() for s in sets], sizes, np.array(sides), num, den):
             for x in np.unique(a).tolist():
                 others = b[a == x]
@@ -223,7 +255,7 @@ def links_of(members: DataFrame, num: int, den: int) -> DataFrame:
                         out.append((keys[x], keys[y]))
         return out
 
-    return by_group(members, ["side", "key", "tokens"], work, ["u", "v"], "u binary, v binary")
+    return by_group(members, ["side", "key", "label", "tokens"], work, ["u", "v"], "u binary, v binary")
 
 
 def sets_of(df: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame) -> DataFrame:
@@ -243,23 +275,52 @@ def sets_of(df: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id) for every row of df."""
+    if not 0 < num <= den:
+        raise ValueError("the threshold num / den must lie above 0 and not above 1")
     small_batches(df.sparkSession)
     described = materialize(describe(df, id_col, text_col, k), "described")
     docs = described.filter("n IS NOT NULL")
     counts = word_counters(described)
-    members = materialize(blocks_of(prefixes(df, text_col, k, num, den, counts), num, den), "members")
+    members = materialize(blocks_of(prefixes(df, text_col, k, num, den, counts)), "members")
     heads = materialize(docs.filter("key IS NOT NULL").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits")).select("key", "first.id", "first.text_hash", "n", "bits"), "heads")
-    grouped = materialize(dealt(members).join(heads.select("key", "n", "bits"), "key"), "grouped")
 
-    partners = materialize(with_partners(grouped, num, den), "partners")
-    wanted = partners.select("key").distinct().join(heads.select("key", F.col("id").alias("first"), F.col("text_hash").alias("first_hash")), "key")
-    sets = sets_of(df, id_col, text_col, k, wanted).dropDuplicates(["key"])
-    links = materialize(links_of(partners.join(sets, "key"), num, den), "links")
+    def linked(groups: DataFrame) -> DataFrame:
+        """The links (u, v) inside groups (block, i, j, side, key, label)."""
+        grouped = materialize(groups.join(heads.select("key", "n", "bits"), "key"), "grouped")
+        partners = materialize(with_partners(grouped, num, den), "partners")
+        wanted = partners.select("key").distinct().join(heads.select("key", F.col("id").alias("first"), F.col("text_hash").alias("first_hash")), "key")
+        sets = sets_of(df, id_col, text_col, k, wanted).dropDuplicates(["key"])
+        links = materialize(links_of(partners.join(sets, "key"), num, den), "links")
+        discard(grouped, partners)
+        return links
+
+    def labelled(big: DataFrame, labels: DataFrame) -> DataFrame:
+        named = big.join(labels.withColumnRenamed("node", "key"), "key", "left")
+        return materialize(named.select("block", "key", F.coalesce("label", "key").alias("label")), "labelled")
+
+    cut = parts_of(members)
+    links = linked(cut.select("block", F.col("part").alias("i"), F.col("part").alias("j"), F.lit(0).alias("side"), "key", F.col("key").alias("label")))
+    big = cut.filter("parts > 1").select("block", "key")
+    if big.limit(1).count():
+        # One member of each component stands for it.
+        own = labelled(big, components(links))
+        stand_in = own.groupBy("block", "label").agg(F.min("key").alias("key"))
+        links = links.unionByName(linked(dealt(stand_in.select("block", "key", "label"))))
+        # Pairs of different components of which one stood in for nothing.  The largest component of a block is spared against itself.
+        now = labelled(big, components(links))
+        largest = now.groupBy("block", "label").agg(F.count("*").alias("size")).groupBy("block").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1")
+        apart = now.join(largest, "block").join(stand_in.select("block", "key", F.lit(True).alias("stood")), ["block", "key"], "left")
+        apart = materialize(apart.select("block", "key", "label", (F.col("label") == F.col("main")).alias("main"), F.coalesce("stood", F.lit(False)).alias("stood")), "apart")
+        if apart.limit(1).count():
+            columns = ("block", "key", "label")
+            rest = dealt_across(apart.filter("NOT main AND NOT stood").select(*columns), apart.select(*columns), 0)
+            links = links.unionByName(linked(rest.unionByName(dealt_across(apart.filter("NOT main").select(*columns), apart.filter("main AND NOT stood").select(*columns), 1))))
     labels = components(links)
 
     named = heads.select("key", "id").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = named.groupBy("label").agg(F.min("id").alias("component"))
     named = named.join(least, "label").select("key", "component")
+    discard(members)
     return docs.select("id", "n", "key").join(named, "key", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id")
     )

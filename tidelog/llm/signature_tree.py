@@ -75,12 +75,12 @@ def candidates(x: Tree, y: Tree, num: int, den: int) -> Iterator[tuple[np.ndarra
 
 
 def group_candidates(maps: list[bytes], sizes: np.ndarray, sides: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The candidate pairs of one group.  Members with a bitmap twice as wide are folded to meet those next below them in size.
-    If there are two sides, only pairs across them count."""
+    """The candidate pairs of one group, at any threshold above 0.  Members with a wider bitmap that may link by size with those of a
+    width are folded to meet them.  If there are two sides, only pairs across them count."""
     words = np.array([len(m) // 8 for m in maps])
     for w in np.unique(words):
         own = words == w
-        wider = (words == 2 * w) & (num * sizes <= den * sizes[own].max())
+        wider = (words > w) & (num * sizes <= den * sizes[own].max())
         trees = []
         for side in np.unique(sides):
             at = np.nonzero((own | wider) & (sides == side))[0]
