@@ -281,7 +281,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     described = materialize(describe(df, id_col, text_col, k), "described")
     docs = described.filter("n IS NOT NULL")
     counts = word_counters(described)
-    members = materialize(blocks_of(prefixes(df, text_col, k, num, den, counts)), "members")
+    postings = materialize(prefixes(df, text_col, k, num, den, counts), "postings")  # read twice, and costly to make
+    members = materialize(blocks_of(postings), "members")
+    discard(postings)
     heads = materialize(docs.filter("key IS NOT NULL").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits")).select("key", "first.id", "first.text_hash", "n", "bits"), "heads")
 
     def linked(groups: DataFrame) -> DataFrame:
