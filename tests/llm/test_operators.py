@@ -92,34 +92,84 @@ def brute_fingerprint(hashes, k, w):
     return sorted({max(i for i in range(s, min(n, s + w)) if hashes[i] == min(hashes[s : s + w])) for s in range(max(1, n - w + 1))}) if n else []
 
 
-def test_winnowing(spark):
-    rng = random.Random(4)
-    texts = [t for t in EDGES if t[0] is not None] + [(20 + i, " ".join(rng.choices("a b c d e f g".split(), k=rng.randint(1, 60)))) for i in range(30)]
-    df = docs(spark, texts)
-    rows = df.select("text", winnowing.fingerprint(F.col("text")).alias("f"), winnowing.gram_hashes(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\S{1,16}"), F.lit(0)), 3).alias("g")).collect()
-    for r in rows:
-        hashes = [x >> 31 for x in r["g"]]
-        kept = [(x >> 31, winnowing.PLACES - (x & winnowing.PLACES)) for x in r["f"]]
-        assert kept == [(hashes[p], p) for p in brute_fingerprint(hashes, 3, winnowing.W)]
-    got = winnowing.compare_with_edited(df).collect()
-    assert len(got) == len(texts)
-    order = sorted(texts, key=lambda r: (-r[0], r[1] or ""))
-    want = []
+def own_fingerprint(text):
+    """(hash, position) pairs by another way: characters are classed one by one, hashes come from the xxhash library."""
+    import xxhash
+
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+    of_word = lambda c: c in "0123456789abcdefghijklmnopqrstuvwxyz" or "\u00c0" <= c <= "\u0dff" or "\u10a0" <= c <= "\u177f" or "\u1800" <= c <= "\u1fff"
+    tokens = []
+    for is_word, run in itertools.groupby(low, of_word):
+        run = list(run)
+        tokens += ["".join(run)] if is_word and len(run) <= winnowing.TOKEN else [c for c in run if c not in " \t\n\x0b\x0c\r"]
+    hashes = [xxhash.xxh64_intdigest(t.encode(), 42) for t in tokens]
+    turned = lambda x, n: (x << n | x >> 64 - n) % (1 << 64) if n else x
+    grams = []
+    for i in range(max(1, len(hashes) - 2) if hashes else 0):
+        x = 0
+        for j, h in enumerate(hashes[i : i + 3]):
+            x ^= turned(h, 2 - j)
+        grams.append(x >> 32)
+    return [(grams[p], p) for p in brute_fingerprint(grams, 3, winnowing.W)]
+
+
+def own_likeness(a, b):
+    x, y = {h for h, _ in a}, {h for h, _ in b}
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def own_rows(texts):
+    """What op4 returns, for ids that do not repeat or repeat with one text."""
+    order = sorted(texts, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    out = []
     for i, (k, t) in enumerate(order):
         t, nxt = t or "", order[(i + 1) % len(order)][1] or ""
-        want.append((k, len(t), t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]))
-    assert sorted((r["doc_id"], r["n_chars"], r["edited"]) for r in got) == sorted(want)
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        f, e, g = own_fingerprint(t), own_fingerprint(edited), own_fingerprint(nxt)
+        shown = lambda p: ",".join(f"{h:X}:{at}" for h, at in p)
+        out.append((k, len(t), hashlib.sha256(edited.encode()).hexdigest(), shown(f), shown(e), own_likeness(f, e), own_likeness(f, g)))
+    return out
+
+
+def as_rows(df):
+    shown = df.select("doc_id", "n_chars", F.sha2("edited", 256), winnowing.shown(F.col("pairs")), winnowing.shown(F.col("edited_pairs")), "near_edited", "near_next")
+    return sorted(map(tuple, shown.collect()), key=str)
+
+
+def test_winnowing(spark):
+    rng = random.Random(4)
+    texts = [*EDGES, (-(2**63), "the least id of all"), (2**63 - 1, "the greatest id of all")] + [(20 + i, " ".join(rng.choices("a b c, d-e fé 漢字漢 g".split(), k=rng.randint(1, 60)))) for i in range(30)]
+    assert as_rows(winnowing.compare_with_edited(docs(spark, texts), rows=4)) == sorted(own_rows(texts), key=str)
+    assert as_rows(winnowing.compare_with_edited(docs(spark, texts), rows=1000)) == sorted(own_rows(texts), key=str)
     assert winnowing.compare_with_edited(docs(spark, [])).count() == 0
     assert winnowing.compare_with_edited(docs(spark, [(1, "alone here now")])).first()["near_next"] == 1.0
 
 
-def test_next_document_across_buckets(spark):
-    ids = sorted({*range(0, 40), *range(1000, 1010), 5000, None}, key=lambda x: -1 if x is None else x)
-    df = spark.createDataFrame([(i, str(i)) for i in ids], "id long, t string")
-    got = {r["id"]: r["next_t"] for r in winnowing.with_next(df, "id", "t", ["t"], width=4).collect()}
-    down = sorted([i for i in ids if i is not None], reverse=True) + [None]
-    assert got == {i: str(down[(k + 1) % len(down)]) for k, i in enumerate(down)}
+def test_shared_passages_leave_common_hashes(spark):
+    rng = random.Random(44)
+    passage = {"spaced": "one two three four five six seven eight", "unspaced": "漢字仮名交文例示", "run": "".join(rng.choices("abcdef", k=60))[20:]}
+    for text in passage.values():
+        for before in ("", "x", "xy z", "q" * 40):
+            other = f"{before} {text} after" if text == passage["spaced"] else f"{before}{text}after"
+            long = "" if text != passage["run"] else "w" * 40
+            f = own_fingerprint(f"{long}{text}")
+            assert own_likeness(f, own_fingerprint(f"{long}{other}")) > 0, (text, before)
+
+
+def test_next_document_in_even_ranges(spark):
+    """Outlying, null and hot ids: every row has its successor, and no range holds much more than its share."""
+    rows = [(i, f"t{i}") for i in range(300)] + [(2**63 - 1, "far"), (-(2**63), "low")] + [(None, f"none {i}") for i in range(300)] + [(77, f"hot {i}") for i in range(300)] + [(5000, "same")] * 400
+    df = docs(spark, rows)
+    got = winnowing.compare_with_edited(df, rows=16)
+    assert got.count() == len(rows)
+    keys = df.select(F.col("doc_id").alias("own"), F.xxhash64("text").alias("h"))
+    place, _ = winnowing.even_ranges(keys.filter("own IS NULL OR own <> 5000"), ["own", "h"], 16)
+    counts = [r["count"] for r in keys.filter("own IS NULL OR own <> 5000").groupBy(place).count().collect()]
+    assert len(counts) > 30 and max(counts) < 100
+    hashes = {(r["doc_id"], r["text"]): r["h"] for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -hashes[r]))
+    want = sorted(str((k, t[: len(t) - len(t) // 2] + order[(i + 1) % len(order)][1][: len(t) // 2])) for i, (k, t) in enumerate(order))
+    assert sorted(str((r["doc_id"], r["edited"])) for r in got.collect()) == want
 
 
 # --- 5 ---
