@@ -62,7 +62,9 @@ def brute_hits(text, items):
     return len(own), len(hit), sorted(names)
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("broadcast", [decontamination.BROADCAST_BYTES, 0])
+def test_decontamination(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", broadcast)
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(30)] + ["Ünd", "é1"]
     items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate([25, 10, 11, 3, 1, 7, 14])] + [(7, None), (8, ""), (None, "w1 w2"), (1, "zz yy xx")]
@@ -81,6 +83,8 @@ def test_decontamination(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.decontaminate(docs(spark, texts), none).filter("n_hit > 0").count() == 0
     assert decontamination.decontaminate(docs(spark, []), none).count() == 0
+    one_length = spark.createDataFrame([(1, items[0][1])], "item_id long, text string")
+    assert sum(r["n_hit"] for r in decontamination.decontaminate(docs(spark, texts), one_length).collect()) == sum(brute_hits(t, items[:1])[1] for _, t in texts)
 
 
 # --- 4 ---

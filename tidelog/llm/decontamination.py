@@ -2,13 +2,16 @@
 
 Every benchmark item is cut into windows of `WINDOW` consecutive words (an item of fewer words is one window), and a window into
 its shingles of `SHINGLE` words.  A document holds a window only if it holds all its shingles, so one shingle, the necessary prefix
-under full containment, finds every candidate; the corpus-wide counts order the shingles, and the rarest is taken.  A window with a
-shingle that no document holds is dropped unseen.  Candidates must pass the positional bound (the window, laid around the prefix
-shingle, starts inside the document) and the length bound (it ends there), and then equal the window word by word.
+under full containment, finds every candidate.  A first pass over the corpus counts how often each benchmark shingle stands in it;
+the counts order the shingles, and a window's prefix is its rarest.  A window with a shingle that no document holds is dropped
+unseen.  A second pass joins the places of the corpus with the prefixes alone.  Candidates must pass the positional bound (the
+window, laid around the prefix shingle, starts inside the document) and the length bound (it ends there), and then equal the window
+word by word.
 
-The corpus is read and cut into words once.  That pass keeps one row for each document row and one for each place where a
-document holds any benchmark shingle, with the words around it; all later steps read only these.  Benchmark tables are broadcast
-below `BROADCAST_BYTES` of text, a size that is measured first, and joined by a shuffle beyond.
+Benchmark shingles and prefixes are broadcast if the benchmark's windows have at most `BROADCAST_BYTES` of text, a size that is
+measured first: then no word of the corpus is shuffled.  Beyond, the first pass sums all shingles by hash, the second one joins places
+(id, text hash, position, shingle hash; no texts) by a shuffle, and the candidates, which are few, meet the words of their documents
+in another.  The tables of the benchmark are made by jobs while the result is being described.
 
 Defined cases: null or wordless texts have no words and no hits.  Rows are told apart by id and text: repeated rows give repeated
 results, and one id with two texts gives a result for each.  Benchmark rows without an id or words are ignored; one item id on
@@ -18,6 +21,8 @@ any length are searched whole.  An empty benchmark leaves every document clean;
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +53,10 @@ def positions(n: Column, length: int) -> Column:
     return F.when(n >= length, F.sequence(F.lit(0), n - F.lit(length))).otherwise(F.array().cast("array<int>"))
 
 
+def marked(places: Column, k: int) -> Column:
+    return F.transform(places, lambda i: F.struct(F.lit(k).alias("k"), i.alias("at")))
+
+
 def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """(item_id, length, words) of every distinct window of every item."""
     given = items.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("w")).filter(F.size("w") > 0)
@@ -59,53 +68,49 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """(id, text_key, n_words, n_hit, items) for every row of docs; items is the sorted array of item ids, as strings."""
     windows = materialize(item_windows(items, item_id, item_text, window), "windows")
     size = windows.agg(F.sum(F.length(F.array_join("words", " "))).alias("b")).first()["b"] or 0
-    small = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)
+    small = size <= BROADCAST_BYTES
     lengths = sorted(r["k"] for r in windows.select(F.least("length", F.lit(shingle)).alias("k")).distinct().collect())  # at most `shingle` values
-
-    def shingles(k: int) -> DataFrame:
-        own = windows.filter(F.least("length", F.lit(shingle)) == k).select("item_id", "length", "words", F.explode(positions(F.size("words"), k)).alias("offset"))
-        return own.withColumn("shingle", shingle_hash(F.col("words"), F.col("offset"), k))
-
-    # One pass over the corpus: a row for each document (at = -1) and for each place that holds a benchmark shingle.
-    reach = window - 1
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_key"), words_of(F.col(text_col)).alias("w"))
-    places = []
-    for k in lengths or [shingle]:
-        # the null entry, for the document itself, comes with the first length only
-        every = F.concat(F.array(F.lit(-1)), positions(F.size("w"), k)) if not places else positions(F.size("w"), k)
-        at = base.select("id", "text_key", "w", F.explode(every).alias("at"))
-        hashed = at.withColumn("key", F.when(F.col("at") >= 0, shingle_hash(F.col("w"), F.col("at"), k)))
-        if lengths:
-            known = shingles(k).select(F.col("shingle").alias("key")).distinct().withColumn("known", F.lit(True))
-            hashed = hashed.join(small(known), "key", "left").filter((F.col("at") < 0) | F.col("known"))
-        start = F.greatest(F.lit(0), F.col("at") - reach)
-        places.append(hashed.select(
-            "id", "text_key", "at", "key", F.size("w").alias("n_words"), start.alias("from"),
-            F.when(F.col("at") >= 0, F.slice("w", start + 1, F.col("at") - start + window)).alias("around"),
-        ))
-    found = places[0]
-    for more in places[1:]:
-        found = found.unionByName(more)
-    found = materialize(found, "places")
-    rows = found.filter("at < 0").select("id", "text_key", "n_words")
+    rows = base.select("id", "text_key", F.size("w").alias("n_words"))
     if not lengths:
         return rows.select(F.col("id").alias(id_col), "text_key", F.col("n_words").cast("long"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
 
+    def shingled(df: DataFrame, words: str, keep: list[str], of: list[int]) -> DataFrame:
+        """df with a row for each place and shingle length in `of` (k, at), and the shingle's hash (key)."""
+        every = F.concat(*[marked(positions(F.size(words), k), k) for k in of]) if len(of) > 1 else positions(F.size(words), of[0])
+        exploded = df.select(*keep, words, F.explode(every).alias("place"))
+        at = F.col("place.at") if len(of) > 1 else F.col("place")
+        key = shingle_hash(F.col(words), at, of[0])
+        for k in of[1:]:
+            key = F.when(F.col("place.k") == k, shingle_hash(F.col(words), at, k)).otherwise(key)
+        return exploded.select(*keep, words, at.alias("at"), key.alias("key"))
+
+    own = windows.withColumn("k", F.least("length", F.lit(shingle)))
+    parts = [shingled(own.filter(F.col("k") == k), "words", ["item_id", "length"], [k]) for k in lengths]
+    shingles = materialize(reduce(DataFrame.unionByName, parts).withColumnRenamed("at", "offset"), "shingles")
+
     # The prefix: each window's rarest shingle over all documents.
-    counts = found.filter("at >= 0").groupBy("key").agg(F.count("*").alias("times"))
-    every = shingles(lengths[0])
-    for k in lengths[1:]:
-        every = every.unionByName(shingles(k))
-    ranked = every.join(counts, every["shingle"] == counts["key"], "left").groupBy("item_id", "length", "words").agg(
-        F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "shingle", "offset")).alias("rarest")
-    )
-    prefixes = ranked.filter("rarest.times > 0").select("item_id", "length", "words", F.col("rarest.shingle").alias("key"), F.col("rarest.offset").alias("offset"))
-    prefixes = materialize(prefixes, "prefixes")
+    known = shingles.select("key").distinct()
+    seen = shingled(base, "w", [], lengths).select("key")
+    if small:
+        counts = seen.join(F.broadcast(known), "key", "left_semi").groupBy("key").agg(F.count("*").alias("times"))
+    else:
+        counts = seen.groupBy("key").agg(F.count("*").alias("times")).join(known, "key")
+    counts = materialize(counts, "counts")
+    ranked = shingles.join(counts, "key", "left").groupBy("item_id", "length", "words").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "key", "offset")).alias("rarest"))
+    prefixes = materialize(ranked.filter("rarest.times > 0").select("item_id", "length", "words", "rarest.key", "rarest.offset"), "prefixes")
 
     start = F.col("at") - F.col("offset")
-    hits = found.filter("at >= 0").join(small(prefixes), "key").filter((start >= 0) & (start + F.col("length") <= F.col("n_words"))).filter(
-        F.slice("around", start - F.col("from") + 1, F.col("length")) == F.col("words")
-    ).select("id", "text_key", start.alias("start"), (start + F.col("length")).alias("end"), F.col("item_id").cast("string").alias("item"))
+    inside = (start >= 0) & (start + F.col("length") <= F.col("n_words"))
+    if small:
+        places = shingled(base, "w", ["id", "text_key"], lengths).withColumn("n_words", F.size("w"))
+        candidates = places.join(F.broadcast(prefixes), "key").filter(inside).withColumn("start", start)
+    else:
+        places = shingled(base, "w", ["id", "text_key"], lengths).select("id", "text_key", F.size("w").alias("n_words"), "at", "key")
+        found = places.join(prefixes, "key").filter(inside).select(F.col("id").alias("own"), F.col("text_key").alias("own_key"), start.alias("start"), "length", "item_id", "words").distinct()
+        candidates = base.join(found, base["id"].eqNullSafe(found["own"]) & (base["text_key"] == found["own_key"]))
+    hits = candidates.filter(F.slice("w", F.col("start") + 1, F.col("length")) == F.col("words"))
+    hits = hits.select("id", "text_key", "start", (F.col("start") + F.col("length")).alias("end"), F.col("item_id").cast("string").alias("item"))
     per_doc = hits.groupBy("id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
     covered = F.aggregate(
         "spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
