@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -279,14 +280,25 @@ def find_all(text: str) -> tuple[list[Span], list[Span]]:
     mapped = normalise(text)
     if mapped is None:
         return plain, []
-    added: list[Span] = []
+    by_kind = [[s for s in plain if s[2] == k] for k in KINDS]  # those of a kind do not overlap, so their ends ascend too
+    ends = [[s[1] for s in own] for own in by_kind]
+    added, last = [], 0
     for start, end, kind in find_plain(mapped.text):
-        a, b = mapped.source(start, end)
-        if all(wider((a, b, kind), s) for s in plain if s[0] < b and a < s[1]) and not any(s < b and a < e for s, e, _ in added):
+        a, b = mapped.source(start, end)  # found from left to right, so the last added one reaches farthest
+        if a >= last and all(wider((a, b, kind), s) for own, e in zip(by_kind, ends, strict=True) for s in overlapping(own, e, a, b)):
             added.append((a, b, kind))
+            last = b
     return plain, added
 
 
+def overlapping(own: list[Span], ends: list[int], a: int, b: int) -> Iterator[Span]:
+    """The spans, which do not overlap each other and whose ends are given, that meet [a, b)."""
+    for k in range(bisect_right(ends, a), len(own)):
+        if own[k][0] >= b:
+            return
+        yield own[k]
+
+
 def wider(new: Span, old: Span) -> bool:
     """Whether a disguised identifier holds a plain one of its kind and more, as when one of its letters is a homoglyph."""
     return new[2] == old[2] and new[0] <= old[0] and old[1] <= new[1] and new[:2] != old[:2]
