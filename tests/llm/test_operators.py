@@ -10,6 +10,7 @@ import struct
 import time
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -508,8 +509,6 @@ def test_components_of_a_path(spark):
 
 
 def test_tree_never_drops_a_pair():
-    import numpy as np
-
     rng = np.random.default_rng(9)
     sets = []
     for _ in range(60):
@@ -620,3 +619,54 @@ def test_quality(spark):
     assert kept.columns == table.columns and 300 < kept.count() < 500
     none = labels.limit(0)
     assert quality.keep_good(odd, none).count() == len(EDGES) and quality.keep_good(odd.limit(0), none).count() == 0
+
+
+def test_views_share_nothing():
+    slots = quality.Slots()
+    words, others = "Some Words of a text", "Soma Wirds uf i taxt"
+    assert (quality.layout(words) == quality.layout(others)).all() and set(slots.of(words)) != set(slots.of(others))
+    assert set(slots.of("some words, of 1 A text!!")) == set(slots.of(words)) and not len(slots.of("12 !?")) and not len(slots.of(None))
+
+
+def test_what_views_teach_each_other(spark):
+    """The counts of a pass equal those of a loop, and words that only unlabelled documents hold are learnt from sure metadata."""
+    rng = random.Random(13)
+    words = [f"{a}{b}" for a in ("lor", "ip", "dol", "sit", "am") for b in ("em", "sum", "or", "et", "ne")]
+    rows, marks = [], []
+    for i in range(1500):
+        text, bad = rng.choices(words, k=rng.randint(10, 60)), i % 4 == 0
+        if bad:
+            text = [w + "!!%%" for w in text] + ["onlyhere" if i >= 500 else "known"] * 2
+        rows.append((i, " ".join(text), "en", "s" + str(i % 3), 0))
+        if i < 500:
+            marks.append((i, int(not bad), 0))
+    table, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    alone, taught = (quality.quality_model(table, labels, rounds=n) for n in (0, 2))
+    mark = max(set(quality.Slots().of("onlyhere")), key=lambda x: x in taught.slots)
+    assert mark in taught.slots and mark not in alone.slots and taught.weights[taught.text_columns(np.array([mark]))][0] < 0
+    given = quality.given(table, "doc_id", "text", ["lang", "source"])
+    chosen = spark.createDataFrame([(i, g) for i, g, _ in marks], "own long, good int")
+    seen, slots, limit = quality.evidence(given, chosen, alone), quality.Slots(), np.log(quality.SURE / (1 - quality.SURE))
+    every, bad, sums = np.zeros(quality.SLOTS, int), np.zeros(quality.SLOTS, int), [0, 0, 0, 0]
+    for i, text, lang, source, _ in rows[500:]:
+        own = slots.of(text)
+        t, m = alone.logits([own], alone.meta_columns(quality.layout(text)[None, :], [(lang, source)]))
+        every[own] += 1
+        bad[own] += int(m[0] <= -limit)
+        sums = [a + int(b) for a, b in zip(sums, (1, m[0] <= -limit, t[0] >= limit, t[0] <= -limit), strict=True)]
+    assert (seen.every == every).all() and (seen.bad == bad).all() and seen.sums.tolist() == sums and sums[1] > 100
+
+
+def test_quality_of_many_categories_and_long_texts(spark):
+    rows, marks = labelled(900)
+    rows = [(i, t if i else "lorem ipsum " * 60_000, "en", f"source {i}", 0) for i, t, *_ in rows]
+    table, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model = quality.quality_model(table, labels, rounds=1)
+    assert len([c for c in model.categories if c[0] == 1]) > 400 and quality.keep_good(table.withColumn("own", F.lit("clash")), labels).count() > 400
+
+
+def test_sparse_fit_equals_dense():
+    rng = np.random.default_rng(3)
+    x = (rng.random((400, 12)) < 0.3).astype(float)
+    y = (rng.random(400) < quality.sigmoid(x @ rng.normal(size=12))).astype(float)
+    assert np.abs(quality.sparse_fit([np.nonzero(r)[0] for r in x], y, np.zeros(12)) - quality.newton(x, y)).max() < 1e-3

@@ -45,18 +45,18 @@ def test_stages(spark, sf_dir, tmp_path):
 
 @pytest.mark.skipif(not (TESTDATA / "sf0.01").exists(), reason="no test tables")
 def test_quality_on_held_out_labels(spark):
-    """Documents whose labels the sample leaves out.  On this table, with 3,000 labels in four languages, 93 % of the bad
-    documents are caught (measured; toxic words of the rarer languages are seen too seldom), with 6,000 of a larger one 99 %."""
+    """Documents whose labels the sample leaves out.  On this table, with 3,000 labels in four languages, 95 % of the bad
+    documents are caught (measured; toxic words of the rarer languages are seen too seldom), with 6,000 of a larger one over 99 %."""
     from pyspark.sql import functions as F
 
     from tidelog.llm import quality
 
     at = str(TESTDATA / "sf0.1") if (TESTDATA / "sf0.1").exists() else str(TESTDATA / "sf0.01")
     docs, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))
-    model = quality.quality_model(docs, labels, sample=3000, pool=1000)
+    model = quality.quality_model(docs, labels, sample=3000)
     seen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(3000).select("doc_id")
     rest = labels.join(seen, "doc_id", "left_anti").join(docs, "doc_id")
     scored = rest.select(((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"), (quality.quality_scores(model, F.col("text"), [F.col("lang"), F.col("source")])["score"] >= 0.5).alias("keep"))
     counts = {(r["good"], r["keep"]): r["count"] for r in scored.groupBy("good", "keep").count().collect()}
-    assert counts[(True, True)] / sum(v for k, v in counts.items() if k[0]) > 0.98
-    assert counts.get((False, True), 0) / sum(v for k, v in counts.items() if not k[0]) < 0.1
+    assert counts[(True, True)] / sum(v for k, v in counts.items() if k[0]) > 0.985
+    assert counts.get((False, True), 0) / sum(v for k, v in counts.items() if not k[0]) < 0.07

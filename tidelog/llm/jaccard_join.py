@@ -87,7 +87,7 @@ def describe(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
 
 def word_counters(described: DataFrame) -> np.ndarray:
-    """The counters of all tasks added up, in two levels of partial sums."""
+    """The counters of all tasks added up, in 16 partial sums."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
@@ -96,7 +96,7 @@ def word_counters(described: DataFrame) -> np.ndarray:
                 total += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["bits"])
 
-    parts = described.filter("n IS NULL").select("bits").repartition(256).mapInArrow(add, "bits binary").repartition(16).mapInArrow(add, "bits binary")
+    parts = described.filter("n IS NULL").select("bits").repartition(16).mapInArrow(add, "bits binary")
     total = np.zeros(SLOTS, np.int64)
     for row in parts.collect():  # at most 16 rows of SLOTS counters
         total += np.frombuffer(zlib.decompress(row[0]), np.int64)
