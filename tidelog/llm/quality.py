@@ -54,9 +54,10 @@ SCORES = "text_score double, meta_score double, score double"
 
 class Slots:
     """The distinct slots of a text's words and of their stems (`STEMS` first letters, marked), and of how little its words vary: the
-    fewer distinct ones, the more slots of a fixed row of `GRID`."""
+    fewer distinct ones, the more slots of a fixed row of `GRID`.  only: the slots that are asked for, if not all."""
 
-    def __init__(self):
+    def __init__(self, only: np.ndarray | None = None):
+        self.only = None if only is None else frozenset(only.tolist())
         self.cache: dict[str, tuple[int, ...]] = {}
         self.varied = [xxhash.xxh3_64_intdigest(f"<{k}") >> (64 - SLOT_BITS) for k in range(GRID)]
 
@@ -67,20 +68,29 @@ class Slots:
             self.cache.clear()
         repeats = len(words) / max(1, len(every)) ** 0.9  # longer texts repeat more
         found = set(self.varied[: max(0, GRID - int(GRID * repeats))]) if every else set()
+        cache = self.cache
         for w in words:
-            own = self.cache.get(w)
+            own = cache.get(w)
             if own is None:
-                own = self.cache[w] = tuple(xxhash.xxh3_64_intdigest(t) >> (64 - SLOT_BITS) for t in (w, *("^" + w[:n] for n in STEMS)))
-            found.update(own)
+                own = tuple(xxhash.xxh3_64_intdigest(t) >> (64 - SLOT_BITS) for t in (w, *("^" + w[:n] for n in STEMS)))
+                own = cache[w] = own if self.only is None else tuple(x for x in own if x in self.only)
+            if own:
+                found.update(own)
         return np.fromiter(found, np.int64, len(found))
 
 
-def layout(text: str | None) -> np.ndarray:
-    raw = np.bincount(np.frombuffer((text or "").encode(), np.uint8), minlength=256)
-    total = max(1, int(raw.sum()))
-    shares = [raw[[ord(c) for c in own]].sum() / total for own in CLASSES]
-    lines = int(raw[10]) + 1
-    return np.array([*shares, raw[128:].sum() / total, np.log1p(total), np.log1p(lines), np.log1p(total / lines)])
+#: Which of the 256 bytes are in which class; the last one: all bytes of no ASCII character.
+MEMBERS = np.stack([np.isin(np.arange(256), [ord(c) for c in own]) for own in CLASSES] + [np.arange(256) > 127], axis=1).astype(float)
+
+
+def layouts(texts: list[str | None]) -> np.ndarray:
+    """The layout facts of each text (rows)."""
+    raw = np.zeros((len(texts), 256))
+    for i, text in enumerate(texts):
+        if text:
+            raw[i] = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
+    total, lines = np.maximum(1, raw.sum(axis=1)), raw[:, 10] + 1
+    return np.column_stack([raw @ MEMBERS / total[:, None], np.log1p(total), np.log1p(lines), np.log1p(total / lines)])
 
 
 def edges_of(x: np.ndarray) -> np.ndarray:
@@ -188,7 +198,7 @@ class Model:
             return np.full((len(texts), 3), self.constant)
         if not len(texts):
             return np.zeros((0, 3))
-        t, m = self.logits([slots.of(x) for x in texts], self.meta_columns(np.stack([layout(x) for x in texts]), labels))
+        t, m = self.logits([slots.of(x) for x in texts], self.meta_columns(layouts(texts), labels))
         return np.column_stack([sigmoid(t), sigmoid(m), sigmoid(views(t, m) @ self.combination[:-1] + self.combination[-1])])
 
 
@@ -317,7 +327,7 @@ def featured(rows: DataFrame, chosen: DataFrame, sample: int) -> tuple[list[np.n
             own, good, texts, meta = batch.columns
             texts = texts.to_pylist()
             packed = [zlib.compress(np.sort(slots.of(x)).astype(np.int32).tobytes(), 1) for x in texts]
-            yield pa.RecordBatch.from_arrays([own, good, meta, pa.array(packed, pa.binary()), pa.array([layout(x).tolist() for x in texts], pa.list_(pa.float64()))], names=["own", "good", "m", "slots", "facts"])
+            yield pa.RecordBatch.from_arrays([own, good, meta, pa.array(packed, pa.binary()), pa.array(layouts(texts).tolist(), pa.list_(pa.float64()))], names=["own", "good", "m", "slots", "facts"])
 
     kind = rows.schema["own"].dataType.simpleString()
     first = rows.join(F.broadcast(chosen), "own").groupBy("own", "good").agg(F.min(F.struct(F.coalesce("t", F.lit("")).alias("t"), "m")).alias("x")).select("own", "good", "x.t", "x.m")
@@ -337,7 +347,7 @@ def evidence(rows: DataFrame, chosen: DataFrame, model: Model, sure: float = SUR
             texts, labels = batch.column(0).to_pylist(), [tuple(x) for x in batch.column(1).to_pylist()]
             if not texts:
                 continue
-            own, columns = [slots.of(x) for x in texts], model.meta_columns(np.stack([layout(x) for x in texts]), labels)
+            own, columns = [slots.of(x) for x in texts], model.meta_columns(layouts(texts), labels)
             t, m = model.logits(own, columns)
             every = np.concatenate(own)
             if len(every):
@@ -378,7 +388,7 @@ def quality_scores(model: Model, text: Column, meta: list[Column]) -> Column:
 
     @F.pandas_udf(SCORES)
     def scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        slots = Slots()
+        slots = Slots(model.slots)
         for texts, metas in batches:
             own = model.scores([x if isinstance(x, str) else None for x in texts], [tuple(x) for x in metas], slots)
             yield pd.DataFrame(own, columns=["text_score", "meta_score", "score"])
