@@ -624,7 +624,7 @@ def test_quality(spark):
 def test_views_share_nothing():
     slots = quality.Slots()
     words, others = "Some Words of a text", "Soma Wirds uf i taxt"
-    assert (quality.layout(words) == quality.layout(others)).all() and set(slots.of(words)) != set(slots.of(others))
+    assert (quality.layouts([words]) == quality.layouts([others])).all() and set(slots.of(words)) != set(slots.of(others))
     assert set(slots.of("some words, of 1 A text!!")) == set(slots.of(words)) and not len(slots.of("12 !?")) and not len(slots.of(None))
 
 
@@ -650,7 +650,7 @@ def test_what_views_teach_each_other(spark):
     every, bad, sums = np.zeros(quality.SLOTS, int), np.zeros(quality.SLOTS, int), [0, 0, 0, 0]
     for i, text, lang, source, _ in rows[500:]:
         own = slots.of(text)
-        t, m = alone.logits([own], alone.meta_columns(quality.layout(text)[None, :], [(lang, source)]))
+        t, m = alone.logits([own], alone.meta_columns(quality.layouts([text]), [(lang, source)]))
         every[own] += 1
         bad[own] += int(m[0] <= -limit)
         sums = [a + int(b) for a, b in zip(sums, (1, m[0] <= -limit, t[0] >= limit, t[0] <= -limit), strict=True)]

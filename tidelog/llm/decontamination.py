@@ -75,15 +75,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     if not lengths:
         return rows.select(F.col("id").alias(id_col), "text_key", F.col("n_words").cast("long"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
 
-    def shingled(df: DataFrame, words: str, keep: list[str], of: list[int]) -> DataFrame:
-        """df with a row for each place and shingle length in `of` (k, at), and the shingle's hash (key)."""
+    def shingled(df: DataFrame, words: str, keep: list[str], of: list[int], itself: bool = False) -> DataFrame:
+        """df with a row for each place and shingle length in `of` (at), and the shingle's hash (key); itself: also a row at -1."""
         every = F.concat(*[marked(positions(F.size(words), k), k) for k in of]) if len(of) > 1 else positions(F.size(words), of[0])
+        if itself:
+            none = F.struct(F.lit(0).alias("k"), F.lit(-1).alias("at")) if len(of) > 1 else F.lit(-1)
+            every = F.concat(F.array(none), every)
         exploded = df.select(*keep, words, F.explode(every).alias("place"))
         at = F.col("place.at") if len(of) > 1 else F.col("place")
         key = shingle_hash(F.col(words), at, of[0])
         for k in of[1:]:
             key = F.when(F.col("place.k") == k, shingle_hash(F.col(words), at, k)).otherwise(key)
-        return exploded.select(*keep, words, at.alias("at"), key.alias("key"))
+        return exploded.select(*keep, words, at.alias("at"), F.when(at >= 0, key).alias("key") if itself else key.alias("key"))
 
     own = windows.withColumn("k", F.least("length", F.lit(shingle)))
     parts = [shingled(own.filter(F.col("k") == k), "words", ["item_id", "length"], [k]) for k in lengths]
@@ -102,15 +105,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     start = F.col("at") - F.col("offset")
     inside = (start >= 0) & (start + F.col("length") <= F.col("n_words"))
-    if small:
-        places = shingled(base, "w", ["id", "text_key"], lengths).withColumn("n_words", F.size("w"))
-        candidates = places.join(F.broadcast(prefixes), "key").filter(inside).withColumn("start", start)
+    end = F.col("start") + F.col("length")
+    equal = F.slice("w", F.col("start") + 1, F.col("length")) == F.col("words")
+    if small:  # one pass writes the documents themselves (at = -1) and the hits
+        places = shingled(base, "w", ["id", "text_key"], lengths, itself=True).withColumn("n_words", F.size("w"))
+        found = places.join(F.broadcast(prefixes), "key", "left").filter((F.col("at") < 0) | inside).withColumn("start", start).filter((F.col("at") < 0) | equal)
+        found = materialize(found.select("id", "text_key", "n_words", "at", "start", end.alias("end"), F.col("item_id").cast("string").alias("item")), "found")
+        rows = found.filter("at < 0").select("id", "text_key", "n_words")
+        hits = found.filter("at >= 0")
     else:
         places = shingled(base, "w", ["id", "text_key"], lengths).select("id", "text_key", F.size("w").alias("n_words"), "at", "key")
         found = places.join(prefixes, "key").filter(inside).select(F.col("id").alias("own"), F.col("text_key").alias("own_key"), start.alias("start"), "length", "item_id", "words").distinct()
         candidates = base.join(found, base["id"].eqNullSafe(found["own"]) & (base["text_key"] == found["own_key"]))
-    hits = candidates.filter(F.slice("w", F.col("start") + 1, F.col("length")) == F.col("words"))
-    hits = hits.select("id", "text_key", "start", (F.col("start") + F.col("length")).alias("end"), F.col("item_id").cast("string").alias("item"))
+        hits = candidates.filter(equal).select("id", "text_key", "start", end.alias("end"), F.col("item_id").cast("string").alias("item"))
     per_doc = hits.groupBy("id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
     covered = F.aggregate(
         "spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
