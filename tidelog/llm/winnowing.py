@@ -111,7 +111,8 @@ def with_next(df: DataFrame, keys: DataFrame, names: list[str], columns: list[st
     every = Window.orderBy("at")
     route = ends.select("at", F.coalesce(F.lead("at").over(every), F.min("at").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to"), "end")
     route = materialize(route, "route")
-    routed = df.withColumn("own", place).join(F.broadcast(route), (F.col("own") == F.col("at")) & reduce(lambda x, y: x & y, [df[c].eqNullSafe(F.col(f"end.{c}")) for c in names]), "left")
+    # explode() keeps the optimizer from putting the search for the range in place of "own" on the other side of the join
+    routed = df.withColumn("own", F.explode(F.array(place))).join(F.broadcast(route), (F.col("own") == F.col("at")) & reduce(lambda x, y: x & y, [df[c].eqNullSafe(F.col(f"end.{c}")) for c in names]), "left")
     here = F.struct(F.col("own").alias("b"), F.lit(0).alias("extra"))
     sent = routed.select(*df.columns, F.explode(F.when(F.col("to").isNull(), F.array(here)).otherwise(F.array(here, F.struct(F.col("to").alias("b"), F.lit(1).alias("extra"))))).alias("sent"))
     follow = Window.partitionBy("sent.b").orderBy(F.col("sent.extra"), *[F.col(c).desc_nulls_last() for c in names])
