@@ -9,7 +9,8 @@ Co-training goes in rounds over the whole corpus.  A pass judges every document
 held-out labels, and of the documents that one view is sure of (`SURE`) it counts the other view's features: words by documents sure
 to be bad against all documents, metadata by sure bad ones against sure good ones.  From these counts each view gets new features
 (words) and, for the features' weights, log-odds around which the next fit on the labels is drawn; a fit that judges the held-out
-labels worse than the one before is not taken.  Rounds end after `ROUNDS`, or when no view is sure of anything or learns any more.
+labels worse than the one before is not taken.  Rounds end after `ROUNDS`, or when neither view's loss on the held-out labels falls by
+`LEAST_GAIN` any more.
 At last a small logistic model combines the calibrated views into one score, with which every document is judged in one more pass.
 
 A document is good if its label says quality 1 and toxic 0.  Words are counted in `SLOTS` hashed slots, whatever the vocabulary; all
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import give_back, small_batches, table
 
 SAMPLE = 6000
-ROUNDS, SURE, LEAST_DF, LEAST_Z, LEAST_LIFT = 2, 0.98, 4, 4.0, 3.0
+ROUNDS, LEAST_GAIN, SURE, LEAST_DF, LEAST_Z, LEAST_LIFT = 3, 0.02, 0.98, 4, 4.0, 3.0
 KEEP_FROM = 0.5
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
@@ -292,10 +293,10 @@ def co_train(slots: list[np.ndarray], facts: np.ndarray, labels: list[tuple], y:
         drawn[np.searchsorted(chosen, new)] = prior
         learnt = False
         if len(new) and (better := text_fit(chosen, drawn)) and (own := calibrated(better[-1]))[1] <= text_loss:
-            learnt, text, (ta, text_loss) = own[1] < text_loss, better, own
+            learnt, text, (ta, text_loss) = own[1] < (1 - LEAST_GAIN) * text_loss, better, own
         prior = seen.meta_prior(columns.shape[1])
         if prior.any() and (better := meta_fit(prior)) and (own := calibrated(better[-1]))[1] <= meta_loss:
-            learnt, meta, (ma, meta_loss) = learnt or own[1] < meta_loss, better, own
+            learnt, meta, (ma, meta_loss) = learnt or own[1] < (1 - LEAST_GAIN) * meta_loss, better, own
         if not learnt:
             rounds = turn + 1
             model.slots, model.weights, model.meta, model.calibration = text[0], text[1], meta[0], np.array([*ta, *ma])
