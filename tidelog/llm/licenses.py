@@ -6,8 +6,9 @@ shares a band.  A template of one shingle stands in two windows with a Jaccard i
 with probability 1 - (1/2)^10 > 0.999; an exact copy of a whole window, as any longer template has in its copies, collides surely.  Each retrieved alignment is verified: the template matches if at least `LEAST` of its shingles stand, word by word, in the
 stretch of the document that it is laid on, with a fifth of its length as play at either end.
 
-The corpus is read and cut once; the template windows are a parameter of bounded size (`MOST` windows, else an error), so their
-band values stand in the plan as constants, and no shuffle happens before a window has been retrieved.
+The corpus is read and cut once.  Up to `MOST` template windows, their band values stand in the plan as constants, and no shuffle
+happens before a window has been retrieved.  Beyond, band values and places are joined by a shuffle that moves no texts.  The template
+windows are made by a job while the result is being described.
 
 Defined cases: null and wordless texts have no license.  Rows are told apart by id and text, so repeated rows give repeated
 results.  Templates without an id or of fewer than K words are ignored.  Only the id and text columns are read.  Texts of any
@@ -70,20 +71,30 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     every_band = F.array(*[band(j) for j in range(BANDS)])
     bands = windows.select("template", F.col("at").alias("offset"), F.size("tw").alias("length"), shingles(F.col("tw")).alias("tokens"), F.posexplode(every_band).alias("j", "value"))
     known: dict[int, set[int]] = {j: set() for j in range(BANDS)}
-    for row in bands.select("j", "value").distinct().limit(BANDS * MOST + 1).collect():
+    values = bands.select("j", "value").distinct().limit(BANDS * MOST + 1).collect()
+    few = len(values) <= BANDS * MOST
+    for row in values:
         known[row["j"]].add(row["value"])
-    if sum(map(len, known.values())) > BANDS * MOST:
-        raise ValueError(f"more than {MOST} template windows")
 
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_key"), words_of(F.col(text_col)).alias("w"))
     hashed = base.withColumn("h", shingle_hashes(F.col("w")))
     itself = F.array(F.struct(F.lit(-1).alias("at"), *[F.lit(None).cast("bigint").alias(f"h{d}") for d in range(WINDOW)]))
-    placed = hashed.select("id", "text_key", "w", F.inline(F.concat(itself, windows_of(F.col("h")))))  # at = -1: the row itself
-    hit = F.col("at") < 0
-    for j in range(BANDS):
-        hit = hit | band(j).isin(sorted(known[j]))
-    retrieved = placed.filter(hit).select("id", "text_key", "w", "at", F.posexplode_outer(F.when(F.col("at") >= 0, every_band)).alias("j", "value"))
-    joined = retrieved.join(F.broadcast(bands), ["j", "value"], "left").filter("at < 0 OR template IS NOT NULL")
+    if few:
+        placed = hashed.select("id", "text_key", "w", F.inline(F.concat(itself, windows_of(F.col("h")))))  # at = -1: the row itself
+        hit = F.col("at") < 0
+        for j in range(BANDS):
+            hit = hit | band(j).isin(sorted(known[j]))
+        retrieved = placed.filter(hit).select("id", "text_key", "w", "at", F.posexplode_outer(F.when(F.col("at") >= 0, every_band)).alias("j", "value"))
+        joined = retrieved.join(F.broadcast(bands), ["j", "value"], "left").filter("at < 0 OR template IS NOT NULL")
+    else:  # band values and places meet in a shuffle without texts; the aligned ones, which are few, meet their documents in another
+        placed = hashed.select("id", "text_key", F.inline(windows_of(F.col("h")))).select("id", "text_key", "at", F.posexplode(every_band).alias("j", "value"))
+        found = placed.join(bands.select("j", "value", "template", "offset"), ["j", "value"]).select(F.col("id").alias("own"), F.col("text_key").alias("own_key"), "template", (F.col("at") - F.col("offset")).alias("align")).distinct()
+        found = found.join(given.select("template", F.size("tw").alias("length"), shingles(F.col("tw")).alias("tokens")), "template")
+        once = base.dropDuplicates(["id", "text_key"])
+        aligned = once.join(found, once["id"].eqNullSafe(found["own"]) & (once["text_key"] == found["own_key"])).select("id", "text_key", "w", "align", F.lit(0).alias("offset"), F.greatest(F.lit(0), F.col("align")).alias("at"), "template", "length", "tokens")
+        aligned = aligned.withColumn("offset", F.col("at") - F.col("align"))
+        rows = base.select("id", "text_key", F.lit(None).cast(dict(base.dtypes)["w"]).alias("w"), F.lit(None).cast("int").alias("align"), F.lit(None).cast("int").alias("offset"), F.lit(-1).alias("at"), F.lit(None).cast("string").alias("template"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("array<string>").alias("tokens"))
+        joined = aligned.select(rows.columns).unionByName(rows)
     play = F.ceil(F.col("length") / 5).cast("int")
     start = F.greatest(F.lit(0), F.col("at") - F.col("offset") - play)
     stretch = F.when(F.col("at") >= 0, F.slice("w", start + 1, F.col("at") - F.col("offset") - start + F.col("length") + play))
