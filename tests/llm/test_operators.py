@@ -46,6 +46,16 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id int, url string")).count() == 0
 
 
+def test_weighted_vocabulary_of_a_table(spark):
+    terms = spark.createDataFrame([("Bad", True, None), ("meh", False, 0.5), ("so", False, 1.5), ("so", False, None), (None, True, 1.0), ("hm", None, None)], "term string, strict boolean, weight double")
+    own = url_filter.Vocabulary.from_table(terms)
+    urls = ["a://x/bad", "a://x/meh-so", "a://x/meh-hm", "a://x/so", "a://x/so.so", "a://x/so?hm", "a://x/badly"]
+    got = [r["verdict"] for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), vocabulary=own).orderBy("page_id").collect()]
+    assert got == ["block", "block", "allow", "allow", "allow", "block", "allow"]
+    none = url_filter.Vocabulary.from_table(terms.limit(0))
+    assert url_filter.judge_urls(spark.createDataFrame([(1, "a://x/porn")], "page_id int, url string"), vocabulary=none).first()["verdict"] == "allow"
+
+
 # --- 3 ---
 
 
@@ -219,7 +229,9 @@ def test_token_counts(spark):
 # --- 7 ---
 
 
-def test_licenses(spark):
+@pytest.mark.parametrize("most", [licenses.MOST, 0])
+def test_licenses(spark, monkeypatch, most):
+    monkeypatch.setattr(licenses, "MOST", most)
     by_name = dict(licenses.TEMPLATES)
     mit = by_name["MIT"]
     near = mit.replace("copy, modify", "duplicate, modify")

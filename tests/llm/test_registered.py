@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
+import struct
+import zlib
+
+import public_tokenizers
 import pytest
 from conftest import TESTDATA, duck, same_rows
-from test_operators import brute_components, brute_hits
+from test_operators import brute_components, brute_hits, brute_pii, own_rows
 
 import corpus_pipeline
-from tidelog.llm import pii
+from tidelog.llm import packing, pii
 from tidelog.llm.catalog import ORACLES, QUERIES
 
 
@@ -23,6 +29,76 @@ def test_names():
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
+def documents(spark, sf_dir):
+    return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+
+
+def test_op1(spark, sf_dir):
+    rows = QUERIES["op1_quality"](spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(i for i, _ in documents(spark, sf_dir))
+    assert all(0 <= r[c] <= 1 for r in rows for c in ("text_score", "meta_score", "score")) and all(r["keep"] == (r["score"] >= 0.5) for r in rows)
+
+
+def test_op4(spark, sf_dir):
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    got = QUERIES["op4_winnowing"](spark, sf_dir).select(names).collect()
+    assert sorted(map(tuple, got)) == sorted(own_rows(documents(spark, sf_dir)))
+
+
+def test_op6(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [(i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 512) for i, t in documents(spark, sf_dir)]
+    assert sorted(map(tuple, QUERIES["op6_token_counts"](spark, sf_dir).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect())) == sorted(want)
+
+
+def test_op8(spark, sf_dir):
+    want = []
+    for i, t in documents(spark, sf_dir):
+        spans = brute_pii(t or "")
+        shown = ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
+        want.append((i, *(sum(s[2] == k for s in spans) for k in pii.KINDS), hashlib.sha256(shown.encode()).hexdigest()))
+    got = QUERIES["op8_pii"](spark, sf_dir)
+    assert sorted(map(tuple, got.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256").collect())) == sorted(want)
+
+
+def test_op9(spark, sf_dir):
+    got = QUERIES["op9_jaccard_join"](spark, sf_dir).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted((i, n, c if n else i) for _, i, n, c in brute_components(documents(spark, sf_dir), 3, 90, 100))
+
+
+def test_op10(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    library, pieces = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), {}
+    rows = QUERIES["op10_packing"](spark, sf_dir).collect()
+    for r in rows:
+        pieces.setdefault(r["doc_id"], []).append(r)
+    assert sorted(pieces) == sorted(i for i, _ in documents(spark, sf_dir))
+    for i, t in documents(spark, sf_dir):
+        ids, at = library.encode(t or "", add_special_tokens=False).ids + [2], 0
+        for r in sorted(pieces[i], key=lambda r: r["start"]):
+            part = ids[at : at + r["length"]]
+            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(struct.pack(f"<{len(part)}I", *part)))
+            at += r["length"]
+        assert at == len(ids)
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        assert sum(n for _, n in parts) <= 4096 and all(o == sum(n for p, n in parts if p < o) for o, _ in parts)
+    assert sum(r["length"] for r in rows) > 0.6 * 4096 * len(sequences)  # 200 documents over a few tasks; fuller with more of them
+
+
+def test_fill_of_full_partitions(spark):
+    """In production a task packs thousands of documents; the fill falls only where partitions hold but a few."""
+    rng = random.Random(100)
+    df = spark.createDataFrame([(i, "word " * min(9000, 1 + int(rng.expovariate(1 / 400)))) for i in range(2000)], "doc_id long, text string").repartition(1)
+    found = packing.pack_documents(df, public_tokenizers.path("word_bpe_49k.json")).agg({"length": "sum", "sequence_id": "max"}).first()
+    assert found["sum(length)"] > 0.97 * 4096 * (found["max(sequence_id)"] + 1)
+
+
 def test_stages(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, kept = docs.columns, {}
@@ -40,7 +116,8 @@ def test_stages(spark, sf_dir, tmp_path):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect() if not brute_hits(r["text"], items)[1]}
     assert all(not pii.find_plain(r["text"]) for r in kept["personal_data"][1].collect())
-    assert docs.agg({"doc_id": "count"}).first()[0] > 0
+    pieces = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).select(*pieces).collect())) == sorted(map(tuple, docs.select(*pieces).collect()))
 
 
 @pytest.mark.skipif(not (TESTDATA / "sf0.01").exists(), reason="no test tables")

@@ -1,7 +1,8 @@
 """Weighted URL vocabulary with host and path rules (operator 2).
 
 An Aho-Corasick automaton finds every vocabulary term of a URL in one pass.  A hit counts only between boundaries (the
-neighbouring characters are no ASCII letters or digits).  One strict term, or `min_soft` distinct soft terms, reject the URL.
+neighbouring characters are no ASCII letters or digits).  One strict term rejects the URL, and so do several (`min_soft`) distinct
+soft terms whose weights add up to `least`.  The terms are a parameter, a mapping or a table; the few that stand here are its default.
 Rules (action, host, path) come before the vocabulary: a rule fits its host and all subdomains if the URL's path starts with
 the rule's path; the longest host+path string wins (ties: block before allow).
 
@@ -25,7 +26,9 @@ from tidelog.llm.common import ascii_lower, table
 #: The vocabulary (a parameter): strict terms reject alone, soft ones only together.
 STRICT = ("adult", "porn", "porno", "xxx", "sexcam", "escort", "hentai", "nudes", "warez", "malware", "phishing")
 SOFT = ("ads", "bet", "bets", "bonus", "casino", "cheap", "dating", "farm", "free", "hot", "loan", "lottery", "pills", "poker", "sexy", "slots", "spam", "torrent", "track", "viagra", "win")
-MIN_SOFT = 2
+MIN_SOFT, LEAST = 2, 2.0
+#: Soft terms that weigh less than 1: common in clean URLs too, so that two of them alone reject nothing.
+WEAK = {"farm": 0.5, "free": 0.75, "hot": 0.75, "track": 0.5, "win": 0.75}
 #: The rules of the query's contract.
 RULES = (
     ("block", "com", "/en/"),
@@ -42,6 +45,20 @@ class Vocabulary:
     strict: tuple[str, ...] = STRICT
     soft: tuple[str, ...] = SOFT
     min_soft: int = MIN_SOFT
+    weights: tuple[tuple[str, float], ...] = tuple(WEAK.items())  # of soft terms; others weigh 1
+    least: float = LEAST
+
+    @classmethod
+    def from_table(cls, terms: DataFrame, min_soft: int = MIN_SOFT, least: float = LEAST) -> Vocabulary:
+        """Of a table (term, strict, weight), a null weight counting as 1.  It must fit a Python worker, as the automaton does; rows
+        without a term are ignored, a repeated term is strict if any of its rows is and weighs its greatest weight."""
+        rows = terms.filter("term IS NOT NULL AND term <> ''").groupBy(ascii_lower(F.col("term")).alias("term")).agg(F.max(F.coalesce("strict", F.lit(False))).alias("strict"), F.max(F.coalesce("weight", F.lit(1.0))).alias("weight")).collect()
+        soft = sorted((r["term"], float(r["weight"])) for r in rows if not r["strict"])
+        return cls(tuple(sorted(r["term"] for r in rows if r["strict"])), tuple(t for t, _ in soft), min_soft, tuple(soft), least)
+
+    def rejects(self, hard: list[str], soft: list[str]) -> bool:
+        weights = dict(self.weights)
+        return bool(hard) or len(soft) >= self.min_soft and sum(weights.get(t, 1.0) for t in soft) >= self.least
 
     def automaton(self):
         import ahocorasick
@@ -105,7 +122,7 @@ def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", voc
                 terms = vocabulary.hits(automaton, text)
                 hard, soft = sorted(terms & strict), sorted(terms - strict)
                 rule, action = rule_for(rules, host, path)
-                own = "block" if hard or len(soft) >= vocabulary.min_soft else "allow"
+                own = "block" if vocabulary.rejects(hard, soft) else "allow"
                 for column, value in zip(out, (rule, action or own, ",".join(hard), ",".join(soft)), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([ids, hosts, paths, *(pa.array(x, pa.string()) for x in out)], names=schema.names)
@@ -136,10 +153,10 @@ WITH given AS (
          list_sort(list_filter([{SOFT}], lambda t: regexp_matches(lowered, '(^|[^a-z0-9])' || t || '($|[^a-z0-9])'))) AS soft FROM cut
 )
 SELECT t.page_id, t.host, t.path, f.rule,
-       coalesce(f.action, CASE WHEN len(hard) > 0 OR len(soft) >= {MIN} THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(f.action, CASE WHEN len(hard) > 0 OR (len(soft) >= {MIN} AND list_sum(list_transform(soft, lambda t: CASE t {WEAK} ELSE 1.0 END)) >= {LEAST}) THEN 'block' ELSE 'allow' END) AS verdict,
        array_to_string(hard, ',') AS strict_terms, array_to_string(soft, ',') AS soft_terms
 FROM terms t LEFT JOIN fits f USING (page_id)
 """.format(
-    U="ABCDEFGHIJKLMNOPQRSTUVWXYZ", L="abcdefghijklmnopqrstuvwxyz", MIN=MIN_SOFT,
+    U="ABCDEFGHIJKLMNOPQRSTUVWXYZ", L="abcdefghijklmnopqrstuvwxyz", MIN=MIN_SOFT, LEAST=LEAST, WEAK=" ".join(f"WHEN '{t}' THEN {w}" for t, w in WEAK.items()),
     RULES=", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in RULES), STRICT=", ".join(f"'{x}'" for x in STRICT), SOFT=", ".join(f"'{x}'" for x in SOFT),
 )
