@@ -53,30 +53,44 @@ BINS = 12
 SCORES = "text_score double, meta_score double, score double"
 
 
+class SlotOf(dict):
+    """The slot of a string behind a mark, or -1 if only others are asked for; kept for strings seen before."""
+
+    def __init__(self, mark: str, only: frozenset[int] | None):
+        super().__init__()
+        self.mark, self.only = mark, only
+
+    def __missing__(self, text: str) -> int:
+        slot = xxhash.xxh3_64_intdigest(self.mark + text) >> (64 - SLOT_BITS)
+        if self.only is not None and slot not in self.only:
+            slot = -1
+        if len(self) >= CACHE:
+            self.clear()
+        self[text] = slot
+        return slot
+
+
 class Slots:
     """The distinct slots of a text's words and of their stems (`STEMS` first letters, marked), and of how little its words vary: the
     fewer distinct ones, the more slots of a fixed row of `GRID`.  only: the slots that are asked for, if not all."""
 
     def __init__(self, only: np.ndarray | None = None):
-        self.only = None if only is None else frozenset(only.tolist())
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.varied = [xxhash.xxh3_64_intdigest(f"<{k}") >> (64 - SLOT_BITS) for k in range(GRID)]
+        asked = None if only is None else frozenset(only.tolist())
+        self.word, self.stem, varied = SlotOf("", asked), SlotOf("^", asked), SlotOf("<", asked)
+        self.varied = [varied[str(k)] for k in range(GRID)]
 
     def of(self, text: str | None) -> np.ndarray:
         every = WORD.findall(text.lower()) if text else []
+        if not every:
+            return np.zeros(0, np.int64)
         words = set(every)
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        repeats = len(words) / max(1, len(every)) ** 0.9  # longer texts repeat more
-        found = set(self.varied[: max(0, GRID - int(GRID * repeats))]) if every else set()
-        cache = self.cache
-        for w in words:
-            own = cache.get(w)
-            if own is None:
-                own = tuple(xxhash.xxh3_64_intdigest(t) >> (64 - SLOT_BITS) for t in (w, *("^" + w[:n] for n in STEMS)))
-                own = cache[w] = own if self.only is None else tuple(x for x in own if x in self.only)
-            if own:
-                found.update(own)
+        repeats = len(words) / len(every) ** 0.9  # longer texts repeat more
+        found = set(self.varied[: max(0, GRID - int(GRID * repeats))])
+        word, stem = self.word, self.stem
+        found.update([word[w] for w in words])
+        for n in STEMS:
+            found.update([stem[x] for x in {w[:n] for w in words}])
+        found.discard(-1)
         return np.fromiter(found, np.int64, len(found))
 
 
