@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import give_back, small_batches, table
 
 SAMPLE = 6000
-ROUNDS, LEAST_GAIN, SURE, LEAST_DF, LEAST_Z, LEAST_LIFT = 3, 0.02, 0.98, 4, 4.0, 3.0
+ROUNDS, LEAST_GAIN, SURE, LEAST_DF, LEAST_Z, LEAST_LIFT = 2, 0.02, 0.98, 4, 4.0, 3.0
 KEEP_FROM = 0.5
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
