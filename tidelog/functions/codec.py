@@ -30,10 +30,8 @@ def crc32c_bytes(data: bytes) -> int:
 
 def byte_array(col: Column) -> Column:
     """The bytes of a string or binary column, as numbers."""
-    digits = F.hex(col.cast("binary"))
-    n = F.octet_length(col)
-    digit = lambda at: F.instr(F.lit("0123456789ABCDEF"), F.substring(digits, at, F.lit(1))) - 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: (digit(2 * i + 1) * 16 + digit(2 * i + 2)).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    each = F.split(F.decode(col.cast("binary"), "ISO-8859-1"), "")  # a character for each byte
+    return F.when(F.octet_length(col) > 0, F.transform(each, lambda c: F.ascii(c).cast("long"))).otherwise(F.array().cast("array<bigint>"))
 
 
 def crc32c(col: Column) -> Column:
