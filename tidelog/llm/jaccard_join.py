@@ -8,7 +8,8 @@ to equal 64-bit hashes of different shingles, or of different sets that share a
 2. A second pass emits each class's necessary prefix: of n tokens the n - ceil(n num / den) + 1 that come first when the shingles
    are ordered by their rarest word.  Any linked pair shares a prefix token, and shared passages, whose words are frequent,
    stand at the end.  Members of a token group without another of fitting size leave it; groups with the same least member
-   are one block.  Token groups are only aggregated and joined, never sorted whole in a task.
+   are one block, and a block that stands almost whole in a larger one joins it.  Token groups are only aggregated and joined,
+   never sorted whole in a task.
 3. Signature trees work inside the blocks: nodes hold OR-combined bitmaps and size ranges, and a dual traversal drops node pairs
    whose greatest possible overlap is too small.
 4. Members with a candidate partner fetch their full sets, and the traversal is done again on these: a candidate pair is passed
@@ -158,6 +159,18 @@ def blocks_of(postings: DataFrame) -> DataFrame:
     return near.join(fitting, ["token", "step"]).select("block", "key").distinct()
 
 
+def merged(members: DataFrame) -> DataFrame:
+    """members (block, key) with fewer blocks: one of which at least three quarters have the same largest block joins that block.  The
+    members of a block stay together, so no pair is lost; a family of near copies whose least member lacks some of the tokens
+    would else stand in two or more blocks that are nearly equal."""
+    sizes = members.groupBy("block").agg(F.count("*").alias("size"))
+    main = members.join(sizes, "block").groupBy("key").agg(F.max(F.struct("size", "block")).alias("main")).select("key", "main.block").withColumnRenamed("block", "main")
+    votes = members.join(main, "key").groupBy("block", "main").agg(F.count("*").alias("votes"))
+    into = votes.groupBy("block").agg(F.max(F.struct("votes", "main")).alias("most"), F.sum("votes").alias("size"))
+    into = into.filter("4 * most.votes >= 3 * size AND most.main <> block").select("block", F.col("most.main").alias("into"))
+    return members.join(into, "block", "left").select(F.coalesce("into", "block").alias("block"), "key").distinct()
+
+
 def parts_of(members: DataFrame) -> DataFrame:
     """members with part and parts: blocks over BLOCK members are cut by a hash of the key."""
     large = members.groupBy("block").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts")).filter("parts > 1").withColumnRenamed("block", "big")
@@ -282,8 +295,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = described.filter("n IS NOT NULL")
     counts = word_counters(described)
     postings = materialize(prefixes(df, text_col, k, num, den, counts), "postings")  # read twice, and costly to make
-    members = materialize(blocks_of(postings), "members")
+    blocks = materialize(blocks_of(postings), "blocks")
     discard(postings)
+    members = materialize(merged(blocks), "members")
+    discard(blocks)
     heads = materialize(docs.filter("key IS NOT NULL").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits")).select("key", "first.id", "first.text_hash", "n", "bits"), "heads")
 
     def linked(groups: DataFrame) -> DataFrame:
