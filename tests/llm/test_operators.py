@@ -244,6 +244,22 @@ def test_licenses(spark, monkeypatch, most):
     assert licenses.scan_licenses(docs(spark, []), licenses.default_templates(spark)).count() == 0
 
 
+def test_license_names(spark):
+    """Licenses that differ by a word or a clause are told apart; each template finds itself alone."""
+    gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    kinds = [("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3")]
+    opening = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    first = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    second = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    texts = [gnu.format(*k[1:]) for k in kinds] + ["\n".join((opening, first, second)), "\n".join((opening, first, second, third))]
+    want = [[k[0]] for k in kinds] + [["BSD", "BSD-2-Clause"], ["BSD", "BSD-2-Clause", "BSD-3-Clause"]]
+    texts += [f"x {t} y" for _, t in licenses.TEMPLATES]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(docs(spark, list(enumerate(texts))), licenses.default_templates(spark)).collect()}
+    assert [got[i] for i in range(len(want))] == want
+    assert [got[len(want) + i] for i in range(len(licenses.TEMPLATES))] == [[n] for n, _ in licenses.TEMPLATES]
+
+
 # --- 8 ---
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -3,8 +3,9 @@
 Texts and templates are cut into shingles of `K` words, and these into windows of `WINDOW` shingles, one starting at every
 shingle.  A window has `BANDS` MinHash values, each a band of its own; a window of the corpus retrieves every template window that
 shares a band.  A template of one shingle stands in two windows with a Jaccard index of 1/2 or more, each of which retrieves it
-with probability 1 - (1/2)^10 > 0.999; an exact copy of a whole window, as any longer template has in its copies, collides surely.  Each retrieved alignment is verified: the template matches if at least `LEAST` of its shingles stand, word by word, in the
-stretch of the document that it is laid on, with a fifth of its length as play at either end.
+with probability 1 - (1/2)^10 > 0.999; an exact copy of a whole window, as any longer template has in its copies, collides surely.
+Each retrieved alignment is verified: the template matches if at least `LEAST` of its shingles stand, word by word, in the stretch
+of the document that it is laid on, with a fifth of its length as play at either end.
 
 The corpus is read and cut once.  Up to `MOST` template windows, their band values stand in the plan as constants, and no shuffle
 happens before a window has been retrieved.  Beyond, band values and places are joined by a shuffle that moves no texts.  The template
@@ -12,7 +13,9 @@ windows are made by a job while the result is being described.
 
 Defined cases: null and wordless texts have no license.  Rows are told apart by id and text, so repeated rows give repeated
 results.  Templates without an id or of fewer than K words are ignored.  Only the id and text columns are read.  Texts of any
-length are scanned whole; the same license at several places counts once.
+length are scanned whole; the same license at several places counts once.  A template is named wherever its wording stands: a
+BSD-3-Clause text, which holds the two clauses of BSD-2-Clause, names both.  The default templates of the GNU licenses are short, so
+that the name or version in which one differs from another is more than a fifth of its shingles.
 """
 
 from __future__ import annotations
@@ -35,8 +38,19 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
     ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("GPL-2.0", "terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License"),
+    ("GPL-3.0", "terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("LGPL-2.1", "terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License"),
+    ("LGPL-3.0", "terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("AGPL-3.0", "terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("CC0-1.0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
 )
