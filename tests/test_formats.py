@@ -49,6 +49,14 @@ def test_varint_columns(spark):
     assert [r[0] for r in bad.select(codec.varint_decode(F.col("c"))).collect()] == [None] * 4
 
 
+def test_wrapping_product(spark):
+    rng = random.Random(5)
+    edges = [0, 1, -1, 1009, 2**31, 2**32 - 1, 2**32, 2**48 - 1, -(2**32), 2**63 - 1, -(2**63)]
+    pairs = [(a, b) for a in edges for b in edges] + [(rng.getrandbits(64) - 2**63, rng.getrandbits(64) - 2**63) for _ in range(500)]
+    df = spark.createDataFrame(pairs, "a long, b long").select("a", "b", codec.wrapping_product(F.col("a"), F.col("b"), F.col("a")).alias("p"))
+    assert all(r["p"] % 2**64 == r["a"] * r["b"] * r["a"] % 2**64 for r in df.collect())
+
+
 def test_bloom(spark):
     assert [bloom.size(n) for n in (1, 10, 1000, 100_000)] == [(64, 16), (96, 7), (9586, 7), (958_506, 7)]
     m, k = bloom.size(1000)

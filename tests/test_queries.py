@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidelog.plans.catalog import ORACLES, QUERIES
 from tidelog.operators import state
-from tidelog.sources import logs
+from tidelog.sources import logs, wal
 from tidelog.streaming import live
 
 
@@ -21,6 +21,16 @@ def test_query(spark, sf_dir, name):
         assert df.count() > 0
 
 
+def test_varint_of_large_ids(spark, tmp_path):
+    """Larger tables have ids whose numbers exceed a long, then 64 bits; the SQL has a result up to 209,089."""
+    ids = [0, 1, 99_999, 209_089, 209_090, 263_436, 263_437, 599_999, 5_999_999, 2**40, 2**63 - 1]
+    spark.createDataFrame([(x,) for x in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_id"]: (r["bytes"], r["back"]) for r in QUERIES["kv_varint"](spark, str(tmp_path)).collect()}
+    want = {x: x**3 * 1009 % 2**64 for x in ids}
+    assert got == {x: (len(wal.put_varint(n)), n - 2**64 if n >= 2**63 else n) for x, n in want.items()}
+    assert [got[x][0] for x in (209_089, 209_090)] == [9, 10] and got[209_089][1] == 209_089**3 * 1009
+
+
 def test_filters_reach_the_scan(spark, sf_dir, tmp_path):
     logs.events_log(spark, sf_dir).write.parquet(f"{tmp_path}/log")
     v = spark.read.parquet(f"{tmp_path}/log")

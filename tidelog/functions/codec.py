@@ -56,6 +56,21 @@ def fnv1a64(col: Column) -> Column:
     return F.aggregate(byte_array(col), start, step)
 
 
+def wrapping_product(*factors: Column) -> Column:
+    """The product of longs modulo 2^64, as the bits of a long, where `*` raises an error in ANSI mode.  Numbers are halves of 32 bits,
+    the upper one signed, and the product of the lower ones is taken by 16 bits, so that nothing overflows a long."""
+    mask, small = F.lit(0xFFFFFFFF).cast("long"), F.lit(0xFFFF).cast("long")
+
+    def times(a: Column, b: Column) -> Column:
+        low_a, low_b = a.bitwiseAND(mask), b.bitwiseAND(mask)
+        first = low_a * low_b.bitwiseAND(small)
+        second = low_a * F.shiftright(low_b, 16) + F.shiftright(first, 16)
+        high = F.shiftright(second, 16) + (F.shiftright(a, 32) * low_b).bitwiseAND(mask) + (low_a * F.shiftright(b, 32)).bitwiseAND(mask)
+        return F.shiftleft(high, 32).bitwiseOR(F.shiftleft(second.bitwiseAND(small), 16)).bitwiseOR(first.bitwiseAND(small))
+
+    return F.aggregate(F.array(*factors), F.lit(1).cast("long"), times)
+
+
 def varint_length(n: Column) -> Column:
     """Bytes of the base-128 code of a 64-bit number; negative longs stand for numbers from 2^63 on."""
     out = F.when(n < 0, 10)
